@@ -37,15 +37,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the scratch folder and return the reread table.
 
     The reread plan starts at a file scan with known size, so nothing upstream runs twice and
     Spark chooses broadcast or shuffle joins from true sizes. A lost executor loses nothing.
+    ``files`` is for tables of a few rows, which would else be scattered over as many files as the
+    step before has tasks.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.repartition(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
