@@ -9,14 +9,28 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.exact_dedup import exact_duplicates
 from loomgrid.llm.mixing import mix_sources
+from loomgrid.llm.secrets import secret_spans
 from loomgrid.llm.sharding import stratified_shards
+from loomgrid.llm.simhash import near_duplicates
+from loomgrid.llm.token_counts import token_counts
 from loomgrid.llm.token_files import token_table
+from loomgrid.llm.toxicity import toxicity
+from loomgrid.llm.url_filter import judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 SHARDS = 24
 SOURCE_WEIGHTS = (5, 2, 1)
 SOURCE_CAP = 3
 MIX_SEED = 11
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+PIECES = "piece_bpe_32k.model"
+TOXIC_FROM = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +59,31 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TOXIC_FROM)
+    return rated.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+    return counted.select(F.col("id").alias("doc_id"), "n_words", "n_tokens")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = stratified_shards(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -63,6 +97,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 OP3_SQL = f"""
 with words as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
@@ -109,8 +148,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
         "op3_mix_sources": op3_mix_sources,
+        "op4_url_filter": op4_url_filter,
+        "op5_simhash_dedup": op5_simhash_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_toxicity": op7_toxicity,
+        "op8_token_counts": op8_token_counts,
         "op9_sharding": op9_sharding,
+        "op10_secrets": op10_secrets,
     }
 
 
