@@ -195,11 +195,11 @@ def write_token_files(
     marks = sorted(set(marks or []))
     part = F.lit(0)
     if marks:
-        # Binary search in the marks: the number of marks below the id.
+        # Binary search by halving steps: the number of marks below the id.
         table = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")
-        steps = F.sequence(F.lit(0), F.lit(max(0, len(marks).bit_length() - 1)))
-        probe = lambda low, bit: F.when(F.get(table, (low + F.shiftleft(F.lit(1), F.lit(len(marks).bit_length() - 1) - bit) - 1).cast("int")) < F.col("id"), low + F.shiftleft(F.lit(1), F.lit(len(marks).bit_length() - 1) - bit)).otherwise(low)
-        part = F.coalesce(F.aggregate(steps, F.lit(0), probe), F.lit(0))
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(marks).bit_length()))])
+        advance = lambda low, step: F.when(F.get(table, low + step - 1) < F.col("id"), low + step).otherwise(low)
+        part = F.coalesce(F.aggregate(steps, F.lit(0), advance), F.lit(0))
     placed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = placed.withColumn("part", part).repartitionById(len(marks) + 1, F.col("part"))
     placed = placed.sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
