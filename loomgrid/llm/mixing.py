@@ -88,6 +88,7 @@ def hash_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     state = settle(
         budgets.select("source", F.col("budget").cast("double").alias("left"), F.lit(0).cast("long").alias("prefix")).filter("left > 0"),
         "mix-budgets",
+        files=1,
     )
     done = 0
     while done < HASH_BITS:
@@ -100,7 +101,7 @@ def hash_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         # The budget ends in the first bucket that reaches it.
         ends = sums.filter((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("words") < F.col("left")))
         left = F.col("left") - (F.col("upto") - F.col("words"))
-        state = settle(ends.select("source", left.alias("left"), F.col("bucket").alias("prefix"), "words"), "mix-boundary")
+        state = settle(ends.select("source", left.alias("left"), F.col("bucket").alias("prefix"), "words"), "mix-boundary", files=1)
         done += LEVEL_BITS
     nearer = (2 * F.col("left") >= F.col("words")).cast("long")
     return state.select("source", (F.col("prefix") + nearer).alias("threshold"))
@@ -124,7 +125,7 @@ def mix_sources(
     target 0. An empty table gives no rows, and other columns are ignored.
     """
     rows = settle(sized_rows(docs, seed, id_col, text_col, source_col), "mix-rows")
-    targets = settle(source_targets(rows, weights, cap), "mix-targets")
+    targets = settle(source_targets(rows, weights, cap), "mix-targets", files=1)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
     targets = targets.withColumn("whole", whole)
     budget = F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)
@@ -132,7 +133,7 @@ def mix_sources(
     plan = targets.join(limits.withColumnRenamed("source", "limited"), F.col("source").eqNullSafe(F.col("limited")), "left").select(
         F.col("source").alias("of"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")
     )
-    plan = settle(plan, "mix-plan")
+    plan = settle(plan, "mix-plan", files=1)
     times = F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")
     return rows.join(plan, F.col("source").eqNullSafe(F.col("of")), "left").select(
         "id", "h", "size", "source_size", "target", times.alias("times")
