@@ -50,7 +50,8 @@ def stratified_shards(
         "shard-rows",
     )
     total = rows.count()
-    buckets = max(1, -(-total // bucket_rows))
+    # Even a small table gets buckets enough to spread a hot source; a large one, full buckets.
+    buckets = max(1, -(-total // bucket_rows), min(1024, -(-total // 500)))
 
     lead = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
     dealt = rows.withColumn("bucket", F.shiftright(lead * buckets, 32).cast("int"))
