@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.llm.decontaminate import leaks
 from loomgrid.llm.exact_dedup import exact_duplicates
 from loomgrid.llm.mixing import mix_sources
 from loomgrid.llm.secrets import secret_spans
@@ -48,6 +49,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, similarity=0.8)
+    return found.select(F.col("id").alias("doc_id"), "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, SOURCE_CAP, MIX_SEED)
     return mixed.select(
@@ -147,6 +153,7 @@ from documents window same as (partition by coalesce(text, ''))
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_decontaminate": op2_decontaminate,
         "op3_mix_sources": op3_mix_sources,
         "op4_url_filter": op4_url_filter,
         "op5_simhash_dedup": op5_simhash_dedup,
