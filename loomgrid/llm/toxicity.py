@@ -28,6 +28,8 @@ WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 MEMO = 200_000
+MIN_DOCS = 3
+MIN_POSTERIOR = 0.3
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -72,7 +74,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train_nnpu(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, steps: int = 150, rate: float = 0.15, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+def train_nnpu(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of one linear classifier under the non-negative PU risk (full batch, Adam)."""
     lengths = np.array([len(r) for r in rows])
     indices = np.array([f for r in rows for f in r], dtype=np.int64)
@@ -147,9 +149,14 @@ def fit(
     if not n_pos or not n_unl:
         return Model()
     counts = picked.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
-    rate_p, rate_u = F.col("p") / n_pos, (F.col("u") + 1) / (n_unl + 1)
-    strength = F.abs(rate_p - rate_u) / F.sqrt(rate_u * (1 - rate_u) / n_pos + 1e-9)
-    top = counts.filter(F.col("p") + F.col("u") >= 3).orderBy(strength.desc(), "f").limit(max_features).select("f")
+    # Features of at least MIN_DOCS positives whose positive-unlabelled estimate of the posterior,
+    # prior * P(feature | positive) / P(feature), is MIN_POSTERIOR or more; a few for each positive.
+    rate_p, rate_u = F.col("p") / n_pos, F.col("u") / n_unl
+    likely = (F.col("p") >= MIN_DOCS) & (prior * rate_p >= MIN_POSTERIOR * rate_u)
+    spread = (F.col("u") + 1) / (n_unl + 1)
+    strength = F.abs(rate_p - spread) / F.sqrt(spread * (1 - spread) / n_pos + 1e-9)
+    most = min(max_features, max(300, 3 * n_pos))
+    top = counts.filter(likely).orderBy(strength.desc(), "f").limit(most).select("f")
     order = {r["f"]: i for i, r in enumerate(top.collect())}
     if not order:
         return Model()
