@@ -51,14 +51,17 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 def gram_slots(host: Column, path: Column) -> Column:
     """Distinct slots of the character n-grams of ``^host|path$``."""
     line = F.concat(F.lit("^"), host, F.lit("|"), path, F.lit("$"))
-    chars = F.split(line, "")
 
-    def of_length(n: int) -> Column:
-        starts = F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
-        gram = lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)])
-        return F.transform(starts, lambda c, i: F.pmod(F.xxhash64(gram(c, i)), F.lit(SLOTS)).cast("int"))
+    def slots(chars: Column) -> Column:
+        def of_length(n: int) -> Column:
+            starts = F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+            gram = lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)])
+            return F.transform(starts, lambda c, i: F.pmod(F.xxhash64(gram(c, i)), F.lit(SLOTS)).cast("int"))
 
-    return F.array_distinct(F.concat(*[of_length(n) for n in GRAMS]))
+        return F.array_distinct(F.concat(*[of_length(n) for n in GRAMS]))
+
+    # The characters are bound once; as a plain column they would be split anew for every gram.
+    return F.get(F.transform(F.array(F.split(line, "")), slots), F.lit(0))
 
 
 def _lookup(weights: list[float]) -> Column:
