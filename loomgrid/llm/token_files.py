@@ -25,49 +25,138 @@ from pyspark.sql import functions as F
 from loomgrid.scratch import scratch_path, settle
 
 MANIFEST = "part int, name string, n_docs long, n_tokens long"
-#: A space before one of these characters always starts a new pre-token of a byte-level BPE, so a
-#: text may be cut there. Controls and rare spaces, on which regex engines differ, are left out.
-CUT = re.compile(r" (?=[^\s\x00-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿])")
-CACHE_ENTRIES = 200_000
+#: Latin letters and punctuation between which a byte-level BPE's pre-tokenizer always cuts. The
+#: apostrophe is missing, since contractions may cross it.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = ".,;:!?|#&*%()"
+#: Pieces of a text, each a whole number of pre-tokens.
+PIECE = re.compile(rf" ?[{LETTERS}]+(?=[\s{MARKS}]|\Z)| ?[{MARKS}]+(?=[\s{LETTERS}]|\Z)| ?\S+|\s+(?!\S)|\s+")
+#: Regex engines differ on whether these are white space.
+UNSURE = re.compile(r"[\x1c-\x1f\x85]")
+#: One pre-token whose first token is the only one that starts with a space.
+WORD = re.compile(rf" [{LETTERS}]+")
+MEMO = 1_000_000
 
 
-class ChunkEncoder:
-    """Encodes whole texts with a byte-level BPE tokenizer, remembering chunks it has seen.
+class PieceCodes(dict):
+    """Numbers pieces in the order in which they are first asked for."""
 
-    A text is cut before spaces at which the tokenizer's pre-tokenizer always cuts too, so the ids of
-    the chunks, joined, are the ids of the text. Texts that hold an added token are encoded whole.
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        code = self[piece] = len(self)
+        self.fresh.append(piece)
+        return code
+
+
+class PieceEncoder:
+    """Encodes whole texts with a byte-level BPE tokenizer, each distinct piece once.
+
+    A text is cut where the tokenizer's pre-tokenizer always cuts too, so the ids of the pieces,
+    joined, are the ids of the text. Texts with added tokens or doubtful white space are one piece.
     """
 
-    def __init__(self, tokenizer_json: str, dtype: str):
+    def __init__(self, tokenizer_json: str, dtype: str, end_id: int):
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.np = np
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # Pieces come once, so remembering their merges would not help.
+        self.tokenizer.model._resize_cache(0)
         self.dtype = dtype
+        self.end_id = end_id
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
-
-    def pack(self, encodings) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in encodings]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        run = lambda batch: self.pack(self.tokenizer.encode_batch_fast(batch, add_special_tokens=False))
-        cut = [[t] if any(a in t for a in self.added) else CUT.split(t) for t in texts]
-        # The first chunk has no space before it; the others are keyed without theirs.
-        heads = run([c[0] for c in cut])
-        wanted = set().union(*[c[1:] for c in cut]).difference(self.seen)
-        if len(self.seen) + len(wanted) > CACHE_ENTRIES:
-            self.seen = {}
-            wanted = set().union(*[c[1:] for c in cut])
-        fresh = list(wanted)
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            self.seen.update(zip(some, run([" " + c for c in some])))
-        seen = self.seen
-        return [head + b"".join([seen[c] for c in chunks[1:]]) for head, chunks in zip(heads, cut)]
+        self.leads = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.leads[i] = token.startswith("Ġ")  # a space, as byte-level vocabularies write it
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew; code 0 is the end of a document."""
+        np = self.np
+        self.codes = PieceCodes()
+        self.codes[None] = 0
+        self.ids = np.array([self.end_id], self.dtype)
+        self.used = 1
+        self.begins = np.zeros(1, np.int64)
+        self.counts = np.ones(1, np.int64)
+
+    def cut(self, text: str) -> list[str]:
+        if UNSURE.search(text) or any(a in text for a in self.added):
+            return [text]
+        return PIECE.findall(text)
+
+    def run(self, pieces: list[str]):
+        """The ids of some pieces, joined, and how many each has."""
+        np = self.np
+        if all(map(WORD.fullmatch, pieces)):
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            starts = np.flatnonzero(self.leads[ids])
+            if len(starts) == len(pieces):
+                return ids, np.diff(np.append(starts, len(ids)))
+        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return np.array(found.ids, dtype=self.dtype), np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(pieces))
+
+    def learn(self) -> None:
+        """Encode the pieces that have been asked for since the last call."""
+        np = self.np
+        words = [bool(WORD.fullmatch(p)) for p in self.codes.fresh]
+        ids, counts, order = [self.ids], [], []
+        for kind in (True, False):
+            some = [i for i, w in enumerate(words) if w == kind]
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                found, sizes = self.run([self.codes.fresh[i] for i in part])
+                ids.append(found)
+                counts.append(sizes)
+                order += part
+        if not order:
+            return
+        # Codes are in order of asking; their ids may lie in any order.
+        counts = np.concatenate(counts)
+        begins = self.used + np.cumsum(counts) - counts
+        back = np.argsort(np.array(order))
+        self.ids = np.concatenate(ids)
+        self.begins = np.concatenate([self.begins, begins[back]])
+        self.counts = np.concatenate([self.counts, counts[back]])
+        self.used = len(self.ids)
+        self.codes.fresh.clear()
+
+    def encode(self, texts: list[str]):
+        """The ids of all texts, each followed by the end id, and where each text ends."""
+        np = self.np
+        if len(self.codes) > MEMO:
+            self.forget()
+        code = self.codes.__getitem__
+        coded = []
+        for text in texts:
+            pieces = self.cut(text)
+            pieces.append(None)
+            coded.append(np.fromiter(map(code, pieces), dtype=np.int32, count=len(pieces)))
+        self.learn()
+        last = np.cumsum([len(c) for c in coded]) - 1
+        coded = np.concatenate(coded)
+        counts = self.counts[coded]
+        upto = np.cumsum(counts)
+        place = np.arange(upto[-1]) + np.repeat(self.begins[coded] - (upto - counts), counts)
+        return self.ids[place], upto[last]
+
+
+_ENCODERS: dict[tuple[int, str, int], PieceEncoder] = {}
+
+
+def encoder_of(tokenizer_json: str, dtype: str, end_id: int) -> PieceEncoder:
+    """The encoder of this worker process, which outlives a task."""
+    key = (zlib.crc32(tokenizer_json.encode()), dtype, end_id)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(tokenizer_json, dtype, end_id)
+    return _ENCODERS[key]
 
 
 def _batches(column: pa.Array, most_chars: int = 4_000_000, most_rows: int = 512) -> Iterator[list[str]]:
@@ -85,30 +174,24 @@ def _batches(column: pa.Array, most_chars: int = 4_000_000, most_rows: int = 512
 
 def _writer(tokenizer_json: str, dtype: str, folder: str, end_id: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         from pyarrow import fs
 
-        encoder = None
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         store, base = fs.FileSystem.from_uri(folder)
-        end = np.array([end_id], dtype=dtype).tobytes()
-        width = np.dtype(dtype).itemsize
         docs = tokens = 0
         ids = idx = None
         for batch in batches:
             for texts in _batches(batch.column(0)):
-                if encoder is None:
-                    encoder = ChunkEncoder(tokenizer_json, dtype)
+                if ids is None:
                     store.create_dir(base, recursive=True)
                     ids = store.open_output_stream(f"{base}/{name}.ids")
                     idx = store.open_output_stream(f"{base}/{name}.idx")
-                packed = [p + end for p in encoder.encode(texts)]
-                ends = tokens + np.cumsum([len(p) // width for p in packed], dtype="<i8")
-                ids.write(b"".join(packed))
-                idx.write(ends.astype("<i8").tobytes())
-                docs += len(packed)
-                tokens = int(ends[-1])
+                found, ends = encoder_of(tokenizer_json, dtype, end_id).encode(texts)
+                ids.write(found.astype(dtype, copy=False).tobytes())
+                idx.write((tokens + ends).astype("<i8").tobytes())
+                docs += len(texts)
+                tokens += len(found)
         if docs:
             ids.close()
             idx.close()
@@ -227,4 +310,5 @@ def read_documents(manifest: DataFrame, folder: str, dtype: str) -> DataFrame:
 def token_table(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write token files for ``docs`` and read them back: ``id, start, n_tokens, ids_crc32``."""
     manifest, keys, folder, dtype = write_token_files(docs, tokenizer_path, **options)
-    return read_documents(manifest, folder, dtype).join(keys, ["part", "place"]).select("id", "start", "n_tokens", "ids_crc32")
+    # Spark takes the documents read for as few as the manifest's rows; they must not be broadcast.
+    return read_documents(manifest, folder, dtype).join(keys.hint("merge"), ["part", "place"]).select("id", "start", "n_tokens", "ids_crc32")
