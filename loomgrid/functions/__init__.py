@@ -1 +1 @@
-
+"""Column expressions: scalars, geometry and tags."""

@@ -1 +1 @@
-
+"""Fixtures, the query catalogue, stages and the command line."""
