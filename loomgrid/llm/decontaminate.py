@@ -5,8 +5,10 @@ item has a weighted Jaccard similarity of shingles (weights are multiplicities)
 more to it. DataFrame operations only, in three steps:
 
 1. Windows. A window that similar shares at least ``2 s / (1 + s)`` of the item's shingles, and a best
-   one starts at a shared shingle (or ends with the document). So documents are joined with the
-   item shingles, and only starts at which enough hits follow within an item's size are kept.
+   one starts at a shared shingle (or ends with the document). A document without any of an
+   item's ``marks``, so many of its rarest shingles that a leak cannot miss all, has no leak; the
+   others keep their shingle hashes in a scratch table, so that texts are read once and never
+   shuffled. There, only starts at which enough hits follow within an item's size are kept.
 2. SimHash. The windows' fingerprints are looked up among the items of the same size by a
    multi-index: 64 bits are cut into ``radius + 1`` blocks, and fingerprints within ``radius`` agree in one.
 3. Verification of every candidate by its exact similarity.
@@ -18,12 +20,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.scratch import settle
 
 BITS = 64
+#: Up to so many marks are a constant of the scan; more are joined with the documents' shingles.
+MAX_MARKS = 20_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -84,6 +88,45 @@ def item_table(items: DataFrame, width: int, item_col: str, text_col: str) -> Da
     )
 
 
+def item_marks(known: DataFrame, similarity: float) -> DataFrame:
+    """``k, h``: the rarest shingles of each item, more than a leak can miss.
+
+    A leak misses at most ``n - similarity * n`` of an item's ``n`` shingles.
+    """
+    bags = known.select("item", "k", "n", F.explode("bag").alias("h")).groupBy("item", "k", "n", "h").agg(F.count(F.lit(1)).alias("times"))
+    common = bags.groupBy("k", "h").agg(F.count(F.lit(1)).alias("items"))
+    rare = Window.partitionBy("item").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bags.join(common, ["k", "h"]).withColumn("before", F.coalesce(F.sum("times").over(rare), F.lit(0)))
+    return ranked.filter(F.col("before") <= F.col("n") - F.ceil(similarity * F.col("n"))).select("k", "h").distinct()
+
+
+def has_mark(text: Column, marks: DataFrame, sizes: list[int]) -> Column | None:
+    """Whether a text has one of the marks, or None if they are too many for a constant of the scan."""
+    if marks.count() > MAX_MARKS:
+        return None
+    found = F.lit(False)
+    for k in sizes:
+        hashes = [r["h"] for r in marks.filter(F.col("k") == k).collect()]
+        found = found | F.arrays_overlap(shingles(text, k), F.split(F.lit(",".join(map(str, sorted(hashes)))), ",").cast("array<bigint>"))
+    return found
+
+
+def suspects(base: DataFrame, marks: DataFrame, sizes: list[int]) -> DataFrame:
+    """``id, probe, s<k>...``: documents with a mark of an item, and their shingles of each width."""
+    of = {k: shingles(F.col("text"), k) for k in sizes}
+    found = has_mark(F.col("text"), marks, sizes)
+    if found is None:
+        keys = None
+        for k in sizes:
+            hit = base.select("id", "probe", F.explode(of[k]).alias("h")).join(marks.filter(F.col("k") == k).select("h"), "h", "left_semi").select("id", "probe")
+            keys = hit if keys is None else keys.unionByName(hit)
+        keys = settle(keys.distinct(), "suspects").select(F.col("id").alias("of"), F.col("probe").alias("mark"))
+        marked = base.join(keys, F.col("id").eqNullSafe(F.col("of")) & (F.col("probe") == F.col("mark")), "left_semi")
+    else:
+        marked = base.filter(found)
+    return marked.select("id", "probe", *[of[k].alias(f"s{k}") for k in sizes])
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -112,28 +155,25 @@ def leaks(
     sizes = [r["k"] for r in known.select("k").distinct().collect()]
     text = F.col(text_col)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("probe"), text.alias("text")).filter("text is not null")
+    most = similarity - 1e-9
+    if not sizes:
+        return known.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("probe"), "item_id", F.lit(0.0).alias("similarity")).limit(0)
+    marks = settle(item_marks(known, most), "item-marks", files=1)
+    doubtful = settle(suspects(base, marks, sizes).dropDuplicates(["id", "probe"]), "suspects")
     postings = settle(known.select("k", "n", "item", F.explode(F.array_distinct("bag")).alias("h")), "item-shingles", files=8)
-
     hits = None
     for k in sizes:
-        places = base.select("id", "probe", F.posexplode(shingles(F.col("text"), k)).alias("pos", "h"))
+        places = doubtful.select("id", "probe", F.posexplode(f"s{k}").alias("pos", "h"))
         found = places.join(postings.filter(F.col("k") == k).drop("k"), "h")
         hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return base.sparkSession.createDataFrame([], docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("probe"), F.lit(0.0).alias("similarity")).join(items.select(F.col(item_col).alias("item_id"))).schema).select("id", "probe", "item_id", "similarity")
-
-    most = similarity - 1e-9
     near = hits.groupBy("id", "probe", "item").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("pos")).alias("at"))
-    near = settle(near.filter(F.size("at") >= most * F.col("n")).drop("n"), "near-items")
+    near = near.filter(F.size("at") >= most * F.col("n")).drop("n").withColumnsRenamed({"id": "of", "probe": "mark"})
 
-    pairs = base.join(near.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")) & (base["probe"] == near["probe"])).select(
-        "id", base["probe"], "text", "item", "at"
-    )
-    pairs = pairs.dropDuplicates(["id", "probe", "item"]).join(known.select("item", "k", "n", "n_words"), "item")
+    pairs = near.join(doubtful, F.col("id").eqNullSafe(F.col("of")) & (F.col("probe") == F.col("mark"))).join(known.select("item", "k", "n", "n_words"), "item")
     doc = F.lit(None)
     for k in sizes:
-        doc = F.when(F.col("k") == k, shingles(F.col("text"), k)).otherwise(doc)
-    pairs = pairs.withColumn("doc", doc).drop("text")
+        doc = F.when(F.col("k") == k, F.col(f"s{k}")).otherwise(doc)
+    pairs = pairs.select("id", "probe", "item", "at", "k", "n", "n_words", doc.alias("doc"))
     total = F.size("doc")
     need = F.ceil(2 * most / (1 + most) * F.col("n")).cast("int")
     last = F.greatest(total - F.col("n"), F.lit(0))
@@ -166,8 +206,28 @@ def leaks(
     return rated.filter(F.col("similarity") >= most).groupBy("id", "probe", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` into which no item leaks, with all their columns."""
-    found = leaks(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("probe").alias("__probe")).distinct()
-    found = settle(found, "leaks", files=8)
-    return docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__probe"]), "left_anti")
+def drop_leaks(
+    docs: DataFrame,
+    items: DataFrame,
+    width: int = 5,
+    similarity: float = 0.8,
+    radius: int = 21,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` into which no item leaks, with all their columns.
+
+    Only documents with a mark of an item are joined with the leaks; the others are passed on.
+    """
+    found = leaks(docs, items, width, similarity, radius, id_col, text_col, item_col, item_text_col)
+    found = settle(found.select(F.col("id").alias("__id"), F.col("probe").alias("__probe")).distinct(), "leaks")
+    known = item_table(items, width, item_col, item_text_col).withColumn("n", F.size("bag"))
+    sizes = [r["k"] for r in known.select("k").distinct().collect()]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marked = has_mark(text, settle(item_marks(known, similarity - 1e-9), "item-marks", files=1), sizes) if sizes else F.lit(False)
+    same = docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__probe"])
+    if marked is None:
+        return docs.join(found, same, "left_anti")
+    return docs.filter(~marked).unionByName(docs.filter(marked).join(found, same, "left_anti"))

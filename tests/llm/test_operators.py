@@ -281,7 +281,9 @@ def brute_leaks(rows, items, width=5, level=0.8):
     return out
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("max_marks", [20_000, 0])
+def test_leaks(spark, max_marks, monkeypatch):
+    monkeypatch.setattr("loomgrid.llm.decontaminate.MAX_MARKS", max_marks)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 5, 6, 30, 30, 45, 60, 90, 30])]
