@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrid.plans import graph_queries, place_queries, table_queries
+from loomgrid.plans import graph_queries, place_queries, table_queries, viewer_queries
 
-MODULES = (table_queries, place_queries, graph_queries)
+MODULES = (table_queries, place_queries, graph_queries, viewer_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
