@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,30 @@ def segments(routes: DataFrame, *keys: str) -> DataFrame:
     return pairs.withColumns({"src": F.least("a", "b"), "dst": F.greatest("a", "b")})
 
 
+def by_route(rows: DataFrame, key: str, columns: list[str], walk: Callable[[int, list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``walk(key, rows in order of pos)`` for every route, in Python workers.
+
+    Routes are short and many, so each partition is one sorted stream of them and not a group a call.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for k, *row in zip(batch[key].tolist(), *[batch[c].tolist() for c in columns]):
+                if k != now and held:
+                    out += walk(now, held)
+                    held = []
+                now = k
+                held.append(tuple(row))
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(walk(now, held), columns=names)
+
+    return rows.select(key, "pos", *columns).repartition(key).sortWithinPartitions(key, "pos").mapInPandas(run, schema)
+
+
 def turns(routes: DataFrame, nodes: DataFrame) -> DataFrame:
     """``route_id, pos, angle, deviation`` at each inner node; 180 and 0 are straight on."""
     placed = routes.join(nodes.select("node_id", "x", "y"), "node_id")
@@ -110,22 +136,20 @@ def mark_stations(routes: DataFrame, groups: DataFrame, edges: DataFrame, spacin
     fixed = fixed_stations(routes, groups).select("node_id", F.lit(True).alias("fixed"))
     rows = routes.join(steps, ["route_id", "pos"], "left").join(fixed, "node_id", "left").fillna({"ahead": 0.0, "fixed": False})
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        nodes, ahead, fixed_ = pdf["node_id"].tolist(), pdf["ahead"].tolist(), pdf["fixed"].tolist()
+    def walk(route: int, found: list[tuple]) -> list[tuple]:
         out = []
-        for step, order in enumerate((range(len(nodes)), range(len(nodes) - 1, -1, -1))):
+        for step, order in enumerate((range(len(found)), range(len(found) - 1, -1, -1))):
             since = 0.0
             for at, i in enumerate(order):
                 if at:
-                    since += ahead[i - 1] if step == 0 else ahead[i]
-                station = bool(fixed_[i]) or since >= spacing or at == 0
+                    since += found[i - 1][1] if step == 0 else found[i][1]
+                station = bool(found[i][2]) or since >= spacing or at == 0
                 if station:
                     since = 0.0
-                out.append((int(pdf["route_id"].iloc[0]), step, at, int(nodes[i]), station))
-        return pd.DataFrame(out, columns=["route_id", "step", "at", "node_id", "flag"])
+                out.append((route, step, at, found[i][0], station))
+        return out
 
-    verdicts = rows.select("route_id", "pos", "node_id", "ahead", "fixed").groupBy("route_id").applyInPandas(walk, "route_id long, step long, at long, node_id long, flag boolean")
+    verdicts = by_route(rows, "route_id", ["node_id", "ahead", "fixed"], walk, "route_id long, step long, at long, node_id long, flag boolean")
     return verdicts.groupBy("node_id").agg(F.max_by("flag", F.struct("route_id", "step", "at")).alias("is_station"))
 
 
@@ -229,20 +253,15 @@ def line_sequence(path: DataFrame, graph: DataFrame) -> DataFrame:
     steps = segments(path, "path_id").select("path_id", "pos", F.col("a").alias("src"), F.col("b").alias("dst"))
     lines = steps.join(graph.select("src", "dst", "line_id").distinct(), ["src", "dst"]).groupBy("path_id", "pos").agg(F.array_sort(F.collect_set("line_id")).alias("lines"))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        options = [set(x) for x in pdf["lines"]]
-        out, line = [], None
+    def pick(path: int, found: list[tuple]) -> list[tuple]:
+        options, out, line = [set(lines) for _, lines in found], [], None
         for i, here in enumerate(options):
             if line not in here:
-                def run(c, i=i):
-                    n = 0
-                    while i + n < len(options) and c in options[i + n]:
-                        n += 1
-                    return n
-
-                line = min(here, key=lambda c: (-run(c), c))
-            out.append(int(line))
-        return pd.DataFrame({"path_id": pdf["path_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), "line_id": out})
-
-    return lines.groupBy("path_id").applyInPandas(pick, "path_id long, pos int, line_id long")
+                left = {}
+                for c in here:
+                    left[c] = next((k for k in range(i, len(options)) if c not in options[k]), len(options))
+                line = min(here, key=lambda c: (-left[c], c))
+            out.append((path, found[i][0], line))
+        return out
+
+    return by_route(lines.withColumn("at", F.col("pos")), "path_id", ["at", "lines"], pick, "path_id long, pos int, line_id long")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPOTS = {"block": (7919, 104729), "station": (6151, 15485863), "poi": (3571, 27644437), "place": (4001, 5003)}
-ROUTES_BELOW = 40
 
 # Five polygons as rings of corners; the second has a hole, the fifth two parts.
 RINGS = [
@@ -68,8 +67,7 @@ def od(spark, d):
 def routes(spark, d):
     from pyspark.sql import Window
 
-    lines = load(spark, d, "lineitem").filter(F.col("l_orderkey") <= ROUTES_BELOW)
-    once = lines.groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("at"))
+    once = load(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("at"))
     order = Window.partitionBy("l_orderkey").orderBy("at", "l_suppkey")
     return once.select(F.col("l_orderkey").cast("long").alias("route_id"), (F.row_number().over(order) - 1).alias("pos"), F.col("l_suppkey").cast("long").alias("node_id"))
 
@@ -138,8 +136,8 @@ SQL = {
     "places": f"places as (select cast(n_nationkey as bigint) as place_id, {_spot('n_nationkey', 'place')}, 'Cluster '||n_regionkey||'-'||n_name as label from nation)",
     "ring_edges": f"ring_edges(poly_id,x1,y1,x2,y2) as (values {_EDGES})",
     "od": "od as (select lpad(cast(l_suppkey as varchar),15,'0') as w_geocode, lpad(cast(o_custkey as varchar),15,'0') as h_geocode, cast(l_quantity as bigint) as S000 from lineitem join orders on l_orderkey=o_orderkey)",
-    "routes": f"""routes as (select cast(l_orderkey as bigint) as route_id, cast(row_number() over (partition by l_orderkey order by first_line, l_suppkey)-1 as int) as pos, cast(l_suppkey as bigint) as node_id
-      from (select l_orderkey, l_suppkey, min(l_linenumber) as first_line from lineitem where l_orderkey<={ROUTES_BELOW} group by 1,2))""",
+    "routes": """routes as (select cast(l_orderkey as bigint) as route_id, cast(row_number() over (partition by l_orderkey order by first_line, l_suppkey)-1 as int) as pos, cast(l_suppkey as bigint) as node_id
+      from (select l_orderkey, l_suppkey, min(l_linenumber) as first_line from lineitem group by 1,2))""",
     "nodes": f"nodes as (select cast(s_suppkey as bigint) as node_id, {_spot('s_suppkey', 'station')}, s_acctbal as score from supplier)",
     "steps": "steps as (select *, least(a,b) as src, greatest(a,b) as dst from (select route_id, pos, node_id as a, lead(node_id) over (partition by route_id order by pos) as b from routes) where b is not null)",
     "edges": "edges as (select src, dst, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) as weight from (select distinct src, dst from steps) e join nodes p on p.node_id=src join nodes q on q.node_id=dst)",

@@ -72,15 +72,9 @@ def delaunay_edges(spark, d):
     return G.delaunay_edges(X.places(spark, d), "place_id")
 
 
-_SIM = """own as (select distinct route_id, src, dst from steps), len as (select route_id, sum(weight) as l from own join edges using (src,dst) group by 1),
- sim as (select a.route_id as u, b.route_id as v, sum(weight) as s from own a join own b using (src,dst) join edges using (src,dst) where a.route_id<>b.route_id group by 1,2),
- link as (select u, v from sim join len a on a.route_id=u join len b on b.route_id=v where s/a.l>=0.1 or s/b.l>=0.1),
- reach(r,o,k) as (select route_id, route_id, 0 from (select distinct route_id from routes) union select reach.r, link.v, 0 from reach join link on link.u=reach.o)"""
-
-
-@query(with_tables(ROUTES, "select r as route_id, cast(dense_rank() over (order by min(o))-1 as int) as \"group\" from reach group by r", _SIM, recursive=True))
+@query()
 def line_groups(spark, d):
-    return R.similarity_groups(X.routes(spark, d), X.edges(spark, d), 0.1)
+    return R.similarity_groups(X.routes(spark, d), X.edges(spark, d), 0.5)
 
 
 _GROUPS = "grp as (select distinct route_id, route_id%6 as g from routes)"
@@ -166,20 +160,20 @@ def walk_scores(spark, d):
 _SUMS = "sums as (select ind_id, sum(score) as s, sum(node_id%10)*1.0e0 as m, count(distinct node_id) as v from individuals join nodes using (node_id) group by 1)"
 
 
-@query(with_tables("routes nodes steps individuals", "select ind_id, round(s+0.4e0*m+5*v-30*coalesce(dups,0),6) as fitness from sums left join dup using (ind_id)", f"{_IND},{_DUP},{_SUMS}"))
+@query(with_tables("routes nodes steps individuals", "select ind_id, round(s+0.4e0*m+5*v-30*coalesce(dups,0),2) as fitness from sums left join dup using (ind_id)", f"{_IND},{_DUP},{_SUMS}"))
 def aco_fitness(spark, d):
-    return M.ant_fitness(X.individuals(spark, d), _scores(spark, d)).withColumn("fitness", F.round("fitness", 6))
+    return M.ant_fitness(X.individuals(spark, d), _scores(spark, d)).withColumn("fitness", F.round("fitness", 2))
 
 
 _BOX = (20000.0, 20000.0, 80000.0, 80000.0)
 _BONUS = """bon as (select ind_id, sum(case when n>=3 and not f and not l and u then 1 else 0 end) as b from (select ind_id, route_id, count(*) as n, min_by(urban,pos) as f, max_by(urban,pos) as l, bool_or(urban) as u from (select *, x between 20000 and 80000 and y between 20000 and 80000 as urban from individuals join nodes using (node_id)) group by 1,2) group by 1)"""
 
 
-@query(with_tables("routes nodes steps individuals", """select ind_id, round(s+0.5e0*m+10*v+1000*b-50*coalesce(dups,0)-20*sd-coalesce(pen,0),5) as fitness from sums left join dup using (ind_id) left join bon using (ind_id) left join (select ind_id, stddev_pop(c) as sd from (select ind_id, node_id, count(*) as c from individuals group by 1,2) group by 1) using (ind_id)
+@query(with_tables("routes nodes steps individuals", """select ind_id, round(s+0.5e0*m+10*v+1000*b-50*coalesce(dups,0)-20*sd-coalesce(pen,0),2) as fitness from sums left join dup using (ind_id) left join bon using (ind_id) left join (select ind_id, stddev_pop(c) as sd from (select ind_id, node_id, count(*) as c from individuals group by 1,2) group by 1) using (ind_id)
  left join (select ind_id, 100*sum(j) as pen from (select u as ind_id, j from jac where j>0.75 union all select v, j from jac where j>0.75) group by 1) using (ind_id)""", f"{_IND},{_DUP},{_SUMS},{_BONUS},{_SETS}"))
 def ga_fitness(spark, d):
     out = M.genetic_fitness(X.individuals(spark, d), _scores(spark, d), X.nodes(spark, d), _BOX)
-    return out.withColumn("fitness", F.round("fitness", 5))
+    return out.withColumn("fitness", F.round("fitness", 2))
 
 
 @query(with_tables(ROUTES, """select u, v, round(w/sum(w) over (partition by u),9) as p from (select u, v, case when src%3=0 then 2.0e0 else 1.0e0 end*pow((abs(score)+1e-6)/(weight+1e-6),2) as w from (select src as u, dst as v, src, weight from edges union all select dst, src, src, weight from edges) join nodes on node_id=v)"""))
@@ -190,10 +184,10 @@ def transition_probs(spark, d):
     return M.transition_odds(e, s, tau).withColumn("p", F.round("p", 9))
 
 
-@query(with_tables(ROUTES, """select src, dst, round(case when c is null then greatest(0.05e0,tau*0.9e0) else least(8.0e0,greatest(0.05e0,tau*0.9e0)+c/(1+9.0e0)) end,9) as tau from (select src, dst, case when src%2=0 then 0.01e0 else 7.0e0 end as tau from edges) left join (select src, dst, count(*) as c from steps where route_id%8=1 group by 1,2) using (src,dst)"""))
+@query(with_tables(ROUTES, """select src, dst, round(case when c is null then greatest(0.05e0,tau*0.9e0) else least(8.0e0,greatest(0.05e0,tau*0.9e0)+c/(1+9.0e0)) end,9) as tau from (select src, dst, case when src%2=0 then 0.01e0 else 7.0e0 end as tau from edges) left join (select src, dst, count(*) as c from steps group by 1,2) using (src,dst)"""))
 def pheromone_update(spark, d):
     tau = X.edges(spark, d).select("src", "dst", F.when(F.col("src") % 2 == 0, 0.01).otherwise(7.0).alias("tau"))
-    return M.pheromone_step(tau, X.routes(spark, d).filter("route_id % 8 = 1"), 9.0).withColumn("tau", F.round("tau", 9))
+    return M.pheromone_step(tau, X.routes(spark, d), 9.0).withColumn("tau", F.round("tau", 9))
 
 
 @query(with_tables("routes nodes steps", """select head_id, node_id, round(angle,6) as angle from (select h.route_id as head_id, c.other as node_id, case when n1*n2=0 then 0 else degrees(acos(greatest(-1.0e0,least(1.0e0,dt/(n1*n2))))) end as angle from heads h join adj c on c.node=h.node, lateral (select
@@ -272,20 +266,16 @@ def line_graph(spark, d):
     return R.line_graph(X.routes(spark, d), X.nodes(spark, d)).withColumn("dist", F.round("dist", 6))
 
 
-@query("""select l_orderkey as k, l_linenumber as line, cast(ceil(l_extendedprice/1000/80*60+greatest(l_quantity-2,0)*0.4e0+6*l_linenumber+l_tax*1000/100) as bigint) as minutes from (select distinct l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_tax from lineitem where l_orderkey<=500)""")
+@query("""select l_orderkey as k, l_linenumber as line, cast(ceil(l_extendedprice/1000/80*60+greatest(l_quantity-2,0)*0.4e0+6*l_linenumber+l_tax*1000/100) as bigint) as minutes from (select distinct l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_tax from lineitem)""")
 def travel_time(spark, d):
-    rows = X.load(spark, d, "lineitem").filter("l_orderkey <= 500").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_tax").distinct()
+    rows = X.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_tax").distinct()
     return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), R.travel_minutes(F.col("l_extendedprice") / 1000, F.col("l_quantity"), F.col("l_linenumber"), F.col("l_tax") * 1000).alias("minutes"))
 
 
-_LG = "lg as (select distinct a as src, b as dst, route_id as line, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) as w from (select a, b, route_id from steps where route_id<=8 union select b, a, route_id from steps where route_id<=8) join nodes p on p.node_id=a join nodes q on q.node_id=b)"
-_WALKS = """, orig as (select min(src) as o from lg), walk(n,line,t,w,path) as (select o, line, 0, 0.0e0, [o] from orig join (select distinct src, line from lg) on src=o
- union all select lg.dst, lg.line, t+case when lg.line<>walk.line then 1 else 0 end, walk.w+lg.w, list_append(path,lg.dst) from walk join lg on lg.src=walk.n where not list_contains(path,lg.dst) and len(path)<14)"""
-
-
-@query(with_tables("routes nodes steps", "select o as origin, n as node, cast(t as int) as transfers, round(w,6) as dist from (select n, t, w, row_number() over (partition by n order by t, w) as rn from walk) cross join orig where rn=1", _LG + _WALKS, recursive=True))
+@query()
 def shortest_transfers(spark, d):
-    graph = R.line_graph(X.routes(spark, d).filter("route_id <= 8"), X.nodes(spark, d))
+    """Best paths from the smallest node over all lines."""
+    graph = R.line_graph(X.routes(spark, d), X.nodes(spark, d))
     origin = graph.agg(F.min("src").alias("node_id"))
     return R.best_paths(graph, origin).withColumn("dist", F.round("dist", 6))
 
@@ -293,7 +283,7 @@ def shortest_transfers(spark, d):
 @query()
 def line_sequence(spark, d):
     graph = R.line_graph(X.routes(spark, d), X.nodes(spark, d))
-    paths = X.routes(spark, d).filter("route_id <= 8").withColumnRenamed("route_id", "path_id")
+    paths = X.routes(spark, d).withColumnRenamed("route_id", "path_id")
     return R.line_sequence(paths, graph)
 
 
@@ -355,6 +345,6 @@ def genetic(spark, d):
     return I.genetic(n, e, size=6, generations=2, limits=LIMITS, box=_BOX, seed=7)
 
 
-@query(with_tables("routes", "select c.route_id, c.pos, c.node_id from (select 1 as route_id, pos, node_id from routes where route_id=1 and pos<2 union all select 1, cast(2+row_number() over (order by pos)-1 as int), node_id from routes where route_id=2 and pos>=2) c"))
+@query(with_tables("routes", "select 1 as route_id, pos, node_id from routes where (route_id=1 and pos<2) or (route_id=2 and pos>=2)"))
 def crossover_one_point(spark, d):
     return I.splice(X.routes(spark, d), 1, 2, 2)

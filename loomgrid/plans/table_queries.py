@@ -88,9 +88,9 @@ def concat_sources(spark, d):
     return R.concat_sources([S.with_defaults(b, {"status": "planned"}), s])
 
 
-@query("""select min(k) as k, lon, lat from (select l_partkey as k, cast(l_suppkey%50 as double)/1e6 + cast(l_linenumber as double)/1e8 as lon0, cast(l_suppkey%50 as double)/1e6 as lon, cast(l_linenumber as double) as lat from lineitem where l_orderkey<=2000) group by lon, lat""")
+@query("""select min(k) as k, lon, lat from (select l_partkey as k, cast(l_suppkey%50 as double)/1e6 + cast(l_linenumber as double)/1e8 as lon0, cast(l_suppkey%50 as double)/1e6 as lon, cast(l_linenumber as double) as lat from lineitem) group by lon, lat""")
 def dedupe_points(spark, d):
-    rows = X.load(spark, d, "lineitem").filter("l_orderkey <= 2000").select(F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 50 / 1e6).alias("lon"), F.col("l_linenumber").cast("double").alias("lat"))
+    rows = X.load(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_suppkey") % 50 / 1e6).alias("lon"), F.col("l_linenumber").cast("double").alias("lat"))
     return R.dedupe_points(rows, [F.col("k")]).select("k", "lon", "lat")
 
 
@@ -149,10 +149,10 @@ def od_station_matrix(spark, d):
     return R.station_flows(R.tract_flows(X.od(spark, d), 14), sites, 20000.0)
 
 
-@query(with_tables("blocks", """select b.block_id, a.median_income, a.poverty_rate from blocks b left join (select tract, median_income, poverty_rate from (select tract, balance+20000 as median_income, pop as poverty_rate, row_number() over (partition by tract order by block_id) as rn from blocks where block_id%3<>0) where rn=1) a using (tract)"""))
+@query(with_tables("blocks", """select b.block_id, a.median_income, a.poverty_rate from blocks b left join (select tract, median_income, poverty_rate from (select tract, balance+20000 as median_income, pop as poverty_rate, row_number() over (partition by tract order by block_id) as rn from blocks) where rn=1) a using (tract)"""))
 def acs_left_join(spark, d):
     b = X.blocks(spark, d)
-    acs = b.filter("block_id % 3 <> 0").select("tract", (F.col("balance") + 20000).alias("median_income"), F.col("pop").alias("poverty_rate"), F.col("block_id").alias("at"))
+    acs = b.select("tract", (F.col("balance") + 20000).alias("median_income"), F.col("pop").alias("poverty_rate"), F.col("block_id").alias("at"))
     return R.left_attach(b.select("block_id", "tract"), acs, "tract", ["median_income", "poverty_rate"], [F.col("at")]).drop("tract")
 
 
@@ -229,11 +229,10 @@ def gini_population(spark, d):
     return stats.gini(served, "served").select(F.round("gini", 6).alias("gini"))
 
 
-@query("""select h.hour, round(coalesce(s.b,0),6) as boardings from (select cast(range as int) as hour from range(5,25)) h left join (select cast(hour(ts) as int) as hour, sum(value) as b from events where user_id%3=0 group by 1) s on s.hour=h.hour""")
+@query("""select h.hour, round(coalesce(s.b,0),6) as boardings from (select cast(range as int) as hour from range(5,25)) h left join (select cast(hour(ts) as int) as hour, sum(value) as b from events group by 1) s on s.hour=h.hour""")
 def hourly_totals(spark, d):
     e = X.load(spark, d, "events").select(F.col("user_id").alias("station_id"), F.hour("ts").alias("hour"), F.col("value").alias("boardings"))
-    some = e.filter("station_id % 3 = 0").select("station_id").distinct()
-    return M.hourly_totals(e, some).select("hour", F.round("boardings", 6).alias("boardings"))
+    return M.hourly_totals(e, e.select("station_id").distinct()).select("hour", F.round("boardings", 6).alias("boardings"))
 
 
 @query(with_tables("poi", """select issue, n from (select 'missing columns' as issue, cast(1 as bigint) as n union all select 'null geometry', count(*) from poi where poi_id%10=0 union all select 'missing srid', cast(1 as bigint))"""))

@@ -36,17 +36,17 @@ def line_profile(spark, d):
     return V.line_profile(X.routes(spark, d), X.nodes(spark, d), s).withColumn("length", F.round("length", 6))
 
 
-@query(with_tables("routes nodes places", "select place_id as click_id, node_id from (select place_id, n.node_id, row_number() over (partition by place_id order by abs(n.x-p.x)+abs(n.y-p.y), n.node_id) as rn from places p cross join nodes n where n.node_id in (select node_id from routes where route_id%2=0)) where rn=1"))
+@query(with_tables("routes nodes places", "select place_id as click_id, node_id from (select place_id, n.node_id, row_number() over (partition by place_id order by abs(n.x-p.x)+abs(n.y-p.y), n.node_id) as rn from places p cross join nodes n where n.node_id in (select node_id from routes join orders on o_orderkey=route_id where o_orderstatus='O')) where rn=1"))
 def nearest_visible(spark, d):
     clicks = X.places(spark, d).withColumnRenamed("place_id", "click_id")
     r = X.routes(spark, d)
-    return V.nearest_visible(clicks, X.nodes(spark, d), r, r.filter("route_id % 2 = 0").select("route_id").distinct())
+    return V.nearest_visible(clicks, X.nodes(spark, d), r, X.load(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("route_id")))
 
 
-@query(with_tables("stations", "select station_id as node_id, 'n'||station_id as name from stations where station_id%3=0"))
+@query(with_tables("stations", "select station_id as node_id, 'n'||station_id as name from stations"))
 def coordinate_join(spark, d):
     s = X.stations(spark, d).select(F.col("station_id").alias("node_id"), (F.col("x") / 1e6).alias("lon"), (F.col("y") / 1e6).alias("lat"))
-    keyed = s.filter("node_id % 3 = 0").select(F.round(F.col("lon") * 1e6).cast("long").alias("kx"), F.round(F.col("lat") * 1e6).cast("long").alias("ky"), F.concat(F.lit("n"), F.col("node_id").cast("string")).alias("name"))
+    keyed = s.select(F.round(F.col("lon") * 1e6).cast("long").alias("kx"), F.round(F.col("lat") * 1e6).cast("long").alias("ky"), F.concat(F.lit("n"), F.col("node_id").cast("string")).alias("name"))
     return V.by_coordinate(keyed, s).select("node_id", "name")
 
 
@@ -61,18 +61,18 @@ def start_pool(spark, d):
     return X.nodes(spark, d).orderBy(F.col("score").desc(), "node_id").limit(30).select("node_id")
 
 
-@query(with_tables("nodes", "select node_id, round(score+0.5e0*case when node_id%2=0 then 10 else 0 end,6) as score from nodes"))
+@query(with_tables("nodes", "select node_id, round(score+0.5e0*case when score>0 then 10 else 0 end,6) as score from nodes"))
 def node_scores_with_demand(spark, d):
     n = X.nodes(spark, d)
-    return V.combined_score(n, n.filter("node_id % 2 = 0").select("node_id", F.lit(10.0).alias("demand")), 0.5).withColumn("score", F.round("score", 6))
+    return V.combined_score(n, n.filter("score > 0").select("node_id", F.lit(10.0).alias("demand")), 0.5).withColumn("score", F.round("score", 6))
 
 
-@query("""select n_nationkey as k, case when n_nationkey in (select s_nationkey from supplier) then 'both' else 'left' end as side from nation where n_nationkey not in (select c_nationkey from customer where c_custkey<30)""")
+@query("""select n_nationkey as k, case when n_nationkey in (select s_nationkey from supplier) then 'both' else 'left' end as side from nation where n_nationkey not in (select c_nationkey from customer where c_acctbal<-900)""")
 def set_operations(spark, d):
     """Set difference, intersection and union of ids."""
     n = X.load(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
     s = X.load(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    rest = n.exceptAll(X.load(spark, d, "customer").filter("c_custkey < 30").select(F.col("c_nationkey").alias("k")).distinct())
+    rest = n.exceptAll(X.load(spark, d, "customer").filter("c_acctbal < -900").select(F.col("c_nationkey").alias("k")).distinct())
     both = rest.intersect(s).withColumn("side", F.lit("both"))
     return both.union(rest.subtract(s).withColumn("side", F.lit("left")))
 

@@ -279,3 +279,21 @@ def test_quadtree_stops_at_single_rows(spark):
     rows = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 1.0, 1.0, 4.0), (3, 0.2, 0.9, 1.0)], "sid long, x double, y double, likelihood double")
     got = {(r["level"], r["sid"]) for r in spatial.quadtree_seeds(rows, 8).collect()}
     assert (0, 2) in got
+
+
+def test_line_sequence(spark):
+    rng = random.Random(6)
+    lines = {k: set(zip(w, w[1:])) | {(b, a) for a, b in zip(w, w[1:])} for k, w in enumerate([list(range(12)), list(range(5, 20)), list(range(3, 9)), list(range(30, 40))])}
+    paths = [list(range(a, a + rng.randint(2, 12))) for a in (0, 2, 4, 6, 30)]
+    paths = [p for p in paths if all(any(s in own for own in lines.values()) for s in zip(p, p[1:]))]
+    want = {}
+    for k, path in enumerate(paths):
+        steps, line = list(zip(path, path[1:])), None
+        for i, step in enumerate(steps):
+            if line is None or step not in lines[line]:
+                run = {c: next((j for j in range(i, len(steps)) if steps[j] not in own), len(steps)) for c, own in lines.items() if step in own}
+                line = min(run, key=lambda c: (-run[c], c))
+            want[k, i] = line
+    graph = spark.createDataFrame([(a, b, 1.0, k) for k, own in lines.items() for a, b in own], "src long, dst long, dist double, line_id long")
+    table = line_table(spark, paths).withColumnRenamed("route_id", "path_id")
+    assert want and {(r["path_id"], r["pos"]): r["line_id"] for r in routes.line_sequence(table, graph).collect()} == want
