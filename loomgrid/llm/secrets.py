@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.batches import text_batches
+
 # Fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -225,6 +227,6 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = [pa.array([joined(f[i]) for f in found], pa.string()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *lists], schema=schema)
 
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return wanted.mapInArrow(search, "id long, n_assign long, n_access long, n_hex long, base string, spans string")
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrid.llm.batches import text_batches
+
 SPACE = "▁"
 MEMO = 300_000
 UNKNOWN_PENALTY = 10.0
@@ -111,5 +113,5 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             words += [len(t.split()) for t in some]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], schema=schema)
 
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return wanted.mapInArrow(tally, "id long, n_words long, n_tokens long")
