@@ -3,8 +3,9 @@
 Confirmed toxic texts are the positives; all other texts are unlabelled, a share ``prior`` of them
 toxic. Linear classifiers on word and word-prefix features are trained in numpy with the
 class-prior-corrected risk ``R_p+ + max(0, R_u- - R_p-)`` under logistic loss (Kiryo et al., 2017), each
-on another part of the unlabelled sample; their mean margin, through a logistic function, is the
-score.
+without another part of the sample. Their mean margin, through a logistic function, is the score;
+slope and intercept of that function are fitted to the margins that labelled texts of the sample
+get from the classifiers that have not seen them.
 
 The fit uses at most ``max_positive`` and ``max_unlabelled`` texts, picked by a hash of the id. Scoring
 reads every whole text.
@@ -21,15 +22,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from loomgrid.llm.batches import text_batches
 from loomgrid.scratch import settle
 
 WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
 PREFIXES = (3, 4, 5, 6)
-MEMO = 200_000
+MEMO = 100_000
+#: Rows whose features a worker holds at once.
+SLICE = 256
 MIN_DOCS = 3
 MIN_POSTERIOR = 0.3
+MIN_STRENGTH = 4.0
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -102,6 +108,44 @@ def train_nnpu(rows: list[list[int]], positive: np.ndarray, n_features: int, pri
     return theta[:-1], float(theta[-1])
 
 
+def calibrate(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept of a logistic function of ``margin`` (Platt's targets, Newton steps)."""
+    n1, n0 = label.sum(), (~label).sum()
+    target = np.where(label, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.column_stack([margin, np.ones(len(margin))])
+    theta = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = sigmoid(x @ theta)
+        slope = x.T @ (weight * (p - target)) + 1e-3 * np.array([theta[0] - 1, theta[1]]) / len(x)
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        theta -= step / max(1.0, float(np.abs(step).max()))
+    return float(max(theta[0], 0.05)), float(theta[1])
+
+
+def train_ensemble(rows: list[list[int]], positive: np.ndarray, known: np.ndarray, n_features: int, prior: float, classifiers: int) -> tuple[np.ndarray, float]:
+    """Mean of classifiers that each leave out a part of all rows, calibrated on the parts left out.
+
+    ``known`` marks unlabelled rows that are confirmed not to be positive; they take part in the
+    calibration only as such.
+    """
+    part = np.arange(len(rows)) % classifiers
+    theta, bias, outside = np.zeros(n_features), 0.0, np.zeros(len(rows))
+    for k in range(classifiers):
+        use = np.flatnonzero((part != k) | (classifiers == 1))
+        w, b = train_nnpu([rows[i] for i in use], positive[use], n_features, prior)
+        theta += w / classifiers
+        bias += b / classifiers
+        for i in np.flatnonzero(part == k):
+            outside[i] = b + w[rows[i]].sum()
+    some = positive | known
+    if not known.any():
+        return theta, bias
+    weight = np.where(positive, prior / positive.sum(), (1 - prior) / known.sum())[some]
+    a, b = calibrate(outside[some], positive[some], weight)
+    return a * theta, a * bias + b
+
+
 def held_out(id_column: Column) -> Column:
     """Rows whose crc32(id as text) mod 4 is 2; false for a null id."""
     return F.coalesce(F.crc32(id_column.cast("string")) % 4 == 2, F.lit(False))
@@ -128,33 +172,37 @@ def fit(
     prior = min(0.95, max(0.001, toxic / n))
 
     draw = F.xxhash64(F.col("id"), F.lit(7))
-    chosen = by_id.filter("label = 1").orderBy(draw, "id").limit(max_positive).select("id", F.lit(True).alias("positive"))
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(False).alias("positive")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    others = ids.orderBy(draw, "id").limit(max_unlabelled)
+    chosen = by_id.filter("label = 1").orderBy(draw, "id").limit(max_positive).select("id", F.lit(True).alias("positive"), F.lit(False).alias("known"))
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    others = ids.orderBy(draw, "id").limit(max_unlabelled).join(by_id, "id", "left")
+    others = others.select("id", F.lit(False).alias("positive"), F.coalesce(F.col("label") == 0, F.lit(False)).alias("known"))
     sample = settle(chosen.unionByName(others).distinct(), "toxicity-sample", files=1)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # The sample has at most max_positive + max_unlabelled rows.
-    picked = texts.join(F.broadcast(sample), "id").select("id", "positive", "text")
-    schema = pa.schema([("id", pa.int64()), ("positive", pa.bool_()), ("features", pa.list_(pa.int32()))])
+    picked = texts.join(F.broadcast(sample), "id").select("id", "positive", "known", "text")
+    schema = pa.schema([("id", pa.int64()), ("positive", pa.bool_()), ("known", pa.bool_()), ("features", pa.list_(pa.int32()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Featurizer()
-        for batch in batches:
-            rows = [sorted(of(t.as_py())) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                rows = [np.array(sorted(of(t.as_py())), dtype=np.int32) for t in batch.column(3)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.int32()))], schema=schema)
 
-    picked = settle(picked.mapInArrow(features, "id long, positive boolean, features array<int>"), "toxicity-features")
+    picked = settle(picked.mapInArrow(features, "id long, positive boolean, known boolean, features array<int>"), "toxicity-features")
     n_pos, n_unl = picked.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).head()
     if not n_pos or not n_unl:
         return Model()
     counts = picked.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
     # Features of at least MIN_DOCS positives whose positive-unlabelled estimate of the posterior,
-    # prior * P(feature | positive) / P(feature), is MIN_POSTERIOR or more; a few for each positive.
+    # prior * P(feature | positive) / P(feature), is MIN_POSTERIOR or more and whose excess among the
+    # positives is MIN_STRENGTH deviations or more; a few for each positive.
     rate_p, rate_u = F.col("p") / n_pos, F.col("u") / n_unl
-    likely = (F.col("p") >= MIN_DOCS) & (prior * rate_p >= MIN_POSTERIOR * rate_u)
     spread = (F.col("u") + 1) / (n_unl + 1)
-    strength = F.abs(rate_p - spread) / F.sqrt(spread * (1 - spread) / n_pos + 1e-9)
+    strength = (rate_p - spread) / F.sqrt(spread * (1 - spread) / n_pos + 1e-9)
+    likely = (F.col("p") >= MIN_DOCS) & (prior * rate_p >= MIN_POSTERIOR * rate_u) & (strength >= MIN_STRENGTH)
     most = min(max_features, max(300, 3 * n_pos))
     top = counts.filter(likely).orderBy(strength.desc(), "f").limit(most).select("f")
     order = {r["f"]: i for i, r in enumerate(top.collect())}
@@ -162,16 +210,9 @@ def fit(
         return Model()
     top = spark_table(picked, order)
     kept = picked.withColumn("f", F.explode_outer("features")).join(F.broadcast(top), "f", "left")
-    sparse = kept.groupBy("id", "positive").agg(F.array_sort(F.collect_set("slot")).alias("slots")).orderBy("id", "positive").collect()
-
-    positive = np.array([r["positive"] for r in sparse])
-    theta, bias = np.zeros(len(order)), 0.0
-    for k in range(classifiers):
-        # Each classifier sees every positive and leaves out another part of the unlabelled texts.
-        use = [i for i in range(len(sparse)) if positive[i] or classifiers == 1 or i % classifiers != k]
-        w, b = train_nnpu([sparse[i]["slots"] for i in use], positive[use], len(order), prior)
-        theta += w / classifiers
-        bias += b / classifiers
+    sparse = kept.groupBy("id", "positive", "known").agg(F.array_sort(F.collect_set("slot")).alias("slots")).orderBy("id", "positive").collect()
+    positive, known_not = (np.array([r[c] for r in sparse]) for c in ("positive", "known"))
+    theta, bias = train_ensemble([r["slots"] for r in sparse], positive, known_not, len(order), prior, classifiers)
     return Model(bias, {f: float(theta[i]) for f, i in order.items() if theta[i]})
 
 
@@ -180,33 +221,18 @@ def spark_table(like: DataFrame, order: dict[int, int]) -> DataFrame:
     return like.sparkSession.createDataFrame(list(order.items()), "f int, slot int")
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``id, score`` for every whole text, with the columns of ``carry`` after them."""
-    carry = carry or []
+def score(text: Column, model: Model) -> Column:
+    """The score of a whole text, from 0 to 1; only the text is sent to Python, and a number comes back."""
     weights, bias = model.weights, model.bias
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Featurizer(weights)
-        for batch in batches:
-            margins = np.array([bias + sum(sorted(weights[f] for f in of(t.as_py()))) for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(margins), pa.float64())], names=["id", "score"])
-
-    if not carry:
-        return wanted.mapInArrow(rate, "id long, score double")
 
-    fields = [f for f in docs.schema.fields if f.name in carry]
-
-    def rate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(DoubleType())
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = Featurizer(weights)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            margins = np.array([bias + sum(sorted(weights[f] for f in of(t.as_py()))) for t in texts])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(margins), pa.float64())], names=[*batch.schema.names, "__score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            margins = np.array([bias + sum(sorted(weights[f] for f in of(t.as_py()))) for t in batch])
+            yield pa.array(sigmoid(margins), pa.float64())
 
-    return docs.select(*[f"`{f.name}`" for f in fields]).mapInArrow(rate_rows, StructType([*fields, StructField("__score", DoubleType())]))
+    return rate(text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
@@ -216,11 +242,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     twice is toxic if one label says so. Rows without an id are scored, never held out and not
     trained on. Empty tables give no rows or, for labels, scores near 0; other columns are ignored.
     """
-    model = fit(docs, labels, id_col, text_col, label_col, **options)
-    return score(docs, model, id_col, text_col).select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = fit(text_batches(docs), labels, id_col, text_col, label_col, **options)
+    rated = docs.select(F.col(id_col).cast("long").alias("id"), score(F.col(text_col), model).alias("score"))
+    return rated.select("id", held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    model = fit(docs, labels, id_col, text_col, label_col, **options)
-    return score(docs, model, id_col, text_col, carry=docs.columns).filter(F.col("__score") < threshold).drop("__score")
+    model = fit(text_batches(docs), labels, id_col, text_col, label_col, **options)
+    return docs.filter(score(F.col(text_col), model) < threshold)
