@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm.decontaminate import drop_leaks
-from loomgrid.llm.mixing import mix_sources
+from loomgrid.llm.mixing import mixed_rows
 from loomgrid.llm.queries import MIX_SEED, SOURCE_CAP, SOURCE_WEIGHTS, TOKENIZER, TOXIC_FROM, table, tokenizer_path
 from loomgrid.llm.simhash import verified_duplicates
 from loomgrid.llm.token_files import token_table
@@ -29,7 +29,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of repeated ids one row stays.
     """
     gone = settle(verified_duplicates(docs, width=5, similarity=0.8).select("id"), "near-gone")
-    kept = docs.join(gone, docs["doc_id"] == gone["id"], "left_anti").select(*COLUMNS)
+    kept = docs.hint("merge").join(gone, docs["doc_id"] == gone["id"], "left_anti").select(*COLUMNS)
     ids = docs.select("doc_id").filter("doc_id is not null")
     repeats = ids.groupBy("doc_id").count().filter("count > 1")
     if repeats.isEmpty():
@@ -44,9 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it; one taken twice has two rows."""
-    taken = mix_sources(docs, SOURCE_WEIGHTS, SOURCE_CAP, MIX_SEED).filter("times > 0").select(F.col("id").alias("doc_id"), "times")
-    copies = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select(*COLUMNS)
+    return mixed_rows(docs, SOURCE_WEIGHTS, SOURCE_CAP, MIX_SEED).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

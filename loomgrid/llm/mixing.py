@@ -25,18 +25,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sized_rows(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Narrow rows ``id, row, source, size, h``: ``h`` is a seeded hash of the id in 60 bits.
+def draw(ident: Column, text: Column, seed: int) -> Column:
+    """A seeded hash of the id in 60 bits; of the text, for a row without an id, so that reruns agree."""
+    name = F.coalesce(ident.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, HASH_BITS // 4), 16, 10).cast("long")
 
-    Rows without an id are hashed by their text, so that a rerun takes the same ones.
-    """
-    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), name))
+
+def sized_rows(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Narrow rows ``id, source, size, h``."""
     return docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         n_words(F.col(text_col)).alias("size"),
-        F.conv(F.substring(draw, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
+        draw(F.col(id_col), F.col(text_col), seed).alias("h"),
     )
 
 
@@ -107,6 +108,22 @@ def hash_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", (F.col("prefix") + nearer).alias("threshold"))
 
 
+def mixture_plan(rows: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
+    """One row a source, ``of, source_size, target, whole, threshold``, from rows of ``sized_rows``.
+
+    A row of the source is taken ``whole`` times, and once more if its hash is below ``threshold``.
+    """
+    targets = settle(source_targets(rows, weights, cap), "mix-targets", files=1)
+    whole = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
+    targets = targets.withColumn("whole", whole)
+    budget = F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)
+    limits = hash_thresholds(rows, targets.select("source", budget.alias("budget")))
+    plan = targets.join(limits.withColumnRenamed("source", "limited"), F.col("source").eqNullSafe(F.col("limited")), "left").select(
+        F.col("source").alias("of"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")
+    )
+    return settle(plan, "mix-plan", files=1)
+
+
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[int],
@@ -125,16 +142,28 @@ def mix_sources(
     target 0. An empty table gives no rows, and other columns are ignored.
     """
     rows = settle(sized_rows(docs, seed, id_col, text_col, source_col), "mix-rows")
-    targets = settle(source_targets(rows, weights, cap), "mix-targets", files=1)
-    whole = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
-    targets = targets.withColumn("whole", whole)
-    budget = F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)
-    limits = hash_thresholds(rows, targets.select("source", budget.alias("budget")))
-    plan = targets.join(limits.withColumnRenamed("source", "limited"), F.col("source").eqNullSafe(F.col("limited")), "left").select(
-        F.col("source").alias("of"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold")
-    )
-    plan = settle(plan, "mix-plan", files=1)
+    plan = mixture_plan(rows, weights, cap)
     times = F.col("whole") + (F.col("h") < F.col("threshold")).cast("int")
     return rows.join(plan, F.col("source").eqNullSafe(F.col("of")), "left").select(
         "id", "h", "size", "source_size", "target", times.alias("times")
     )
+
+
+def mixed_rows(
+    docs: DataFrame,
+    weights: Sequence[int],
+    cap: int = 3,
+    seed: int = 11,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mixture itself: each row of ``docs``, with all its columns, as often as it is taken.
+
+    The row's own hash and its source's plan decide, so documents are filtered where they are read.
+    """
+    rows = settle(sized_rows(docs, seed, id_col, text_col, source_col), "mix-rows")
+    plan = mixture_plan(rows, weights, cap).select(*[F.col(c).alias(f"__{c}") for c in ("of", "whole", "threshold")])
+    times = F.col("__whole") + (draw(docs[id_col], docs[text_col], seed) < F.col("__threshold")).cast("int")
+    taken = docs.join(plan, docs[source_col].eqNullSafe(plan["__of"])).withColumn("__times", times).filter("__times > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])

@@ -231,6 +231,23 @@ def test_pipeline(spark, corpus, tmp_path):
     assert [tuple(r) for r in last] == brute_tokens([r[:2] for r in mixed])
 
 
+def test_stages_take_odd_rows(spark, corpus):
+    """Null and repeated ids, nulls in every column, and no rows at all."""
+    rows = [(None, "a b c d e f g", "en", "s", 1), (None, None, None, None, None), (7, "a b c d e f g", "en", "s", 1), (7, "a b c d e f g", "en", "s", 1), (7, "x y", None, None, None), (8, "", "en", "t", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, corpus[0])
+            n = out.count()
+            assert n <= 3 * docs.count() and (k == 4 or out.columns == corpus_pipeline.COLUMNS)
+            if k in (0, 2):
+                assert n == docs.count()
+            if k == 1 and docs.count():
+                assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect()) == [(False, 7), (False, 8), (True, 0), (True, 0)]
+    taken = corpus_pipeline.mixing_stage(spark, spark.createDataFrame(rows, schema), corpus[0]).collect()
+    assert {r["doc_id"] for r in taken} <= {None, 7, 8} and max(Counter(tuple(r) for r in taken).values()) <= 6
+
+
 def test_pipeline_runs_whole(spark, corpus):
     folder = corpus[0]
     assert corpus_pipeline.run(spark, folder).count() > 500
