@@ -20,16 +20,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.llm.batches import text_batches
 from loomgrid.operators.components import connected_components
-from loomgrid.scratch import settle
+from loomgrid.scratch import scratch_path, settle
 
 BITS = 64
 SEED = 42
 FOLD_BITS = 12
 LANE = 255
+#: Shingles of the leaders that a round compares with a component.
+HEAD_SHINGLES = 250_000
+#: Documents of a component that are compared with a round's leaders in one piece.
+LOT = 128
+#: Rows whose shingles a worker holds at once.
+SLICE = 256
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -77,7 +84,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
             found = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.int64())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(mark, "id long, fp long")
+    wanted = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return wanted.mapInArrow(mark, "id long, fp long")
 
 
 def bit_correlation(nodes: DataFrame) -> np.ndarray:
@@ -238,40 +246,61 @@ def _forest(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return compare
 
 
-def fingerprint_links(nodes: DataFrame, radius: int, block: int = 1024, small: int = 2048) -> DataFrame:
+def chained(index: DataFrame, radius: int) -> DataFrame:
+    """``u, v``: neighbours in the order of each bucket that are within ``radius``, at most a link a row.
+
+    The order is by the fingerprint, rotated differently for each partition. This joins most of a
+    group of near copies without looking at its pairs.
+    """
+    turned = F.col("fp")
+    for part in range(1, 5):
+        turn = 13 * part
+        turned = F.when(F.col("part") == part, F.shiftleft(F.col("fp"), turn).bitwiseOR(F.shiftrightunsigned(F.col("fp"), BITS - turn))).otherwise(turned)
+    order = Window.partitionBy("part", "value").orderBy(turned)
+    pairs = index.select(F.col("fp").alias("u"), F.lag("fp").over(order).alias("v"))
+    return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
+
+
+def fingerprint_links(nodes: DataFrame, radius: int, block: int = 1024, crowd: int | None = None) -> DataFrame:
     """Edges ``u, v`` whose components are those of all pairs of fingerprints within ``radius``.
 
-    ``nodes`` has distinct ``fp``. A bucket with at most ``small`` pairs of probes and members is joined;
-    larger ones are cut into blocks of about ``block`` by ``block`` and compared whole.
+    ``nodes`` has distinct ``fp``. Neighbours in the buckets are linked first; after that only links between
+    different components of these are looked for. A bucket with more than ``crowd`` members (by default
+    a few times the mean) is cut into blocks of about ``block`` by ``block``, which are compared whole;
+    the others are joined.
     """
     groups, thresholds = search_plan(nodes, radius)
     used = [(i, g, t) for i, (g, t) in enumerate(zip(groups, thresholds)) if t >= 0]
-    fp = F.col("fp")
-    where = [F.struct(F.lit(i).alias("part"), partition_value(fp, g).alias("value")) for i, g, _ in used]
-    index = nodes.select("fp", F.explode(F.array(*where)).alias("at")).select("fp", "at.part", "at.value")
+    fp, key, n = F.col("fp"), ["part", "value"], nodes.count()
+    where = F.array(*[F.struct(F.lit(i).alias("part"), partition_value(fp, g).alias("value")) for i, g, _ in used])
+    first = settle(chained(nodes.select("fp", F.explode(where).alias("at")).select("fp", "at.part", "at.value"), radius), "chained")
+    known = connected_components(first).select(F.col("node").alias("fp"), F.col("root").alias("comp"))
+    nodes = settle(nodes.select("fp").join(known, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp")), "chained-nodes")
 
     def reach(i: int, bits: list[int], t: int) -> Column:
         near = F.split(F.lit(",".join(map(str, masks(len(bits), t)))), ",").cast("array<bigint>")
         return F.transform(near, lambda m: F.struct(F.lit(i).alias("part"), partition_value(fp, bits).bitwiseXOR(m).alias("value")))
 
-    probes = nodes.select("fp", F.explode(F.concat(*[reach(*u) for u in used])).alias("at")).select("fp", "at.part", "at.value")
-    key = ["part", "value"]
-
-    sizes = index.groupBy(key).agg(F.count(F.lit(1)).alias("members"))
-    asks = probes.groupBy(key).agg(F.count(F.lit(1)).alias("asks"))
-    hot = sizes.join(asks, key).filter(F.col("members") * F.col("asks") > small)
-    hot = settle(hot.select(*key, F.ceil(F.col("members") / block).cast("int").alias("m_blocks"), F.ceil(F.col("asks") / block).cast("int").alias("a_blocks")), "hot-buckets", files=4)
+    index = nodes.select("fp", "comp", F.explode(where).alias("at")).select("fp", "comp", "at.part", "at.value")
+    probes = nodes.select("fp", "comp", F.explode(F.concat(*[reach(*u) for u in used])).alias("at")).select("fp", "comp", "at.part", "at.value")
+    most = F.lit(0)
+    for i, g, _ in used:
+        most = F.when(F.col("part") == i, crowd if crowd is not None else 8 + 4 * n // 2 ** len(g)).otherwise(most)
+    hot = index.groupBy(key).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > most)
+    asks = probes.join(hot, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("asks"))
+    hot = hot.join(asks, key).select(*key, F.ceil(F.col("members") / block).cast("int").alias("m_blocks"), F.ceil(F.col("asks") / block).cast("int").alias("a_blocks"))
+    hot = settle(hot, "hot-buckets", files=4)
 
-    a, b = probes.join(hot, key, "left_anti"), index.join(hot, key, "left_anti").withColumnRenamed("fp", "other")
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    links = a.join(b, key).filter((F.col("fp") < F.col("other")) & close).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    a, b = probes.join(hot, key, "left_anti"), index.join(hot, key, "left_anti").withColumnsRenamed({"fp": "other", "comp": "other_comp"})
+    close = (F.col("fp") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
+    links = a.join(b, key).filter(close).select(F.col("fp").alias("u"), F.col("other").alias("v"))
 
     lot = lambda blocks: F.pmod(F.xxhash64("fp"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    crowd = index.join(hot, key).select(*key, lot("m_blocks").alias("m"), every("a_blocks").alias("a"), "fp", F.lit(False).alias("probe"))
+    members = index.join(hot, key).select(*key, lot("m_blocks").alias("m"), every("a_blocks").alias("a"), "fp", F.lit(False).alias("probe"))
     askers = probes.join(hot, key).select(*key, every("m_blocks").alias("m"), lot("a_blocks").alias("a"), "fp", F.lit(True).alias("probe"))
-    forest = crowd.unionByName(askers).groupBy("part", "value", "m", "a").applyInPandas(_forest(radius), "u long, v long")
-    return links.unionByName(forest).distinct()
+    forest = members.unionByName(askers).groupBy("part", "value", "m", "a").applyInPandas(_forest(radius), "u long, v long")
+    return first.unionByName(links).unionByName(forest).distinct()
 
 
 def near_duplicates(
@@ -299,11 +328,13 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("grp", pa.int64()), ("bag", pa.list_(pa.int64()))])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = [np.array(sorted(set(shingle_hashes(t.as_py(), width))), dtype="<u8").view("<i8") for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.int64()))], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                bags = [np.unique(np.array(shingle_hashes(t.as_py(), width), dtype="<u8")).view("<i8") for t in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select("id", "grp", "text").mapInArrow(collect, "id long, grp long, bag array<long>")
+    return text_batches(docs).select("id", "grp", "text").mapInArrow(collect, "id long, grp long, bag array<long>")
 
 
 def verified_duplicates(
@@ -316,7 +347,8 @@ def verified_duplicates(
     similarity they find 98 %. In each component, the smallest id leads, and the documents whose
     Jaccard similarity of distinct shingles to it is ``similarity`` or more are its
     duplicates; among the others the smallest id leads next, until none is left. So everything
-    returned is verified on whole texts, and no leader is as similar to an earlier one.
+    returned is verified on whole texts, and no leader is as similar to an earlier one. A round
+    settles the smallest few ids of each component, more in later rounds.
 
     Rows without an id are never returned. An id of several texts is a duplicate if one of them is
     and none leads. Two texts without words are equal. An empty table gives no rows.
@@ -325,20 +357,42 @@ def verified_duplicates(
     many = found.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("grp")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = settle(found.join(many, "grp"), "near-members")
-    left = settle(shingle_sets(texts.join(wanted, "id"), width), "near-sets")
-    ruled: list[DataFrame] = []
+    # Texts are shuffled at any size, so that a run on a sample shows what a large one costs.
+    left = settle(shingle_sets(texts.hint("merge").join(wanted, "id"), width), "near-sets")
+    spark, ruled, some = docs.sparkSession, scratch_path(docs.sparkSession, "near-ruled"), 2
+
+    def like(a: Column, b: Column) -> Column:
+        # No similarity exceeds the ratio of the sizes, which is looked at first.
+        level = similarity - 1e-9
+        fits = (F.size(a) >= level * F.size(b)) & (F.size(b) >= level * F.size(a))
+        return F.when(fits, F.size(F.array_intersect(a, b)) * (1 + level) >= level * (F.size(a) + F.size(b))).otherwise(False)
+
+    def lead(held: Column, c: Column) -> Column:
+        return F.when(F.exists(held, lambda h: like(h["bag"], c["bag"])), held).otherwise(F.concat(held, F.array(c)))
+
+    empty = F.array().cast("array<struct<id:bigint,bag:array<bigint>>>")
+    by_id = Window.partitionBy("grp").orderBy("id")
     while not left.isEmpty():
-        heads = left.groupBy("grp").agg(F.min("id").alias("leader"), F.min_by("bag", "id").alias("lead"))
-        both = F.size(F.array_intersect("bag", "lead"))
-        either = F.size("bag") + F.size("lead") - both
-        like = (F.col("id") == F.col("leader")) | (either == 0) | (both >= (similarity - 1e-9) * either)
-        judged = settle(left.join(heads, "grp").select("id", "grp", "leader", like.alias("like"), F.when(~like, F.col("bag")).alias("bag")), "near-round")
-        ruled.append(judged.filter("like").select("id", "leader"))
-        left = judged.filter("not like").select("id", "grp", "bag")
-    if not ruled:
+        # The smallest ids of each component, as many as fit HEAD_SHINGLES, but one at least.
+        least = left.groupBy("grp", "id").agg(F.max(F.size("bag")).alias("n")).withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= some)
+        least = least.withColumn("upto", F.sum("n").over(by_id)).filter((F.col("place") == 1) | (F.col("upto") <= HEAD_SHINGLES))
+        heads = left.join(least.select("grp", "id"), ["grp", "id"]).groupBy("grp")
+        heads = heads.agg(F.array_sort(F.collect_list(F.struct("id", "bag"))).alias("heads"))
+        # A large component is compared in lots, each with a copy of the leaders.
+        lots = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
+        heads = heads.select("grp", F.aggregate("heads", empty, lead).alias("heads")).join(lots, "grp")
+        heads = heads.select("grp", "heads", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+        dealt = left.join(lots, "grp").select("id", "grp", "bag", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int").alias("lot"))
+        # The work is in comparing, not in bytes, so these partitions must not be merged for being small.
+        dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp", "lot")
+        first = F.get(F.filter("heads", lambda h: like(F.col("bag"), h["bag"])), F.lit(0))["id"]
+        judged = dealt.join(heads, ["grp", "lot"]).select("id", "grp", "bag", first.alias("leader"))
+        judged = settle(judged.select("id", "grp", "leader", F.when(F.col("leader").isNull(), F.col("bag")).alias("bag")), "near-round")
+        judged.filter("leader is not null").select("id", "leader").write.mode("append").parquet(ruled)
+        left = judged.filter("leader is null").select("id", "grp", "bag")
+        some = min(4 * some, 192)
+    if some == 2:
         return found.select("id", F.col("grp").alias("leader")).limit(0)
-    every = ruled[0]
-    for more in ruled[1:]:
-        every = every.unionByName(more)
+    every = spark.read.schema("id long, leader long").parquet(ruled)
     leaders = every.filter(F.col("id") == F.col("leader")).select("id").distinct()
     return every.filter(F.col("id") != F.col("leader")).join(leaders, "id", "left_anti").groupBy("id").agg(F.min("leader").alias("leader"))

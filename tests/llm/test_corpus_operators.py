@@ -213,12 +213,12 @@ def test_fingerprint():
         assert fingerprint(t) & (2**64 - 1) == brute_fingerprint(t)
 
 
-@pytest.mark.parametrize("small", [2048, 1])
-def test_near_duplicates(spark, small, monkeypatch):
+@pytest.mark.parametrize("crowd", [None, 1])
+def test_near_duplicates(spark, crowd, monkeypatch):
     import loomgrid.llm.simhash as module
 
     whole = module.fingerprint_links
-    monkeypatch.setattr(module, "fingerprint_links", lambda nodes, radius: whole(nodes, radius, block=16, small=small))
+    monkeypatch.setattr(module, "fingerprint_links", lambda nodes, radius: whole(nodes, radius, block=16, crowd=crowd))
     rows = ROWS + [(1000 + i, t, "v") for i, t in enumerate(variants(3, 6, 25))]
     fps = {d: brute_fingerprint(t) for d, t, _ in rows if d is not None}
     distinct = sorted(set(brute_fingerprint(t) for _, t, _ in rows))
