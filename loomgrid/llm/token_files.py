@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.llm.batches import text_batches
 from loomgrid.scratch import scratch_path, settle
 
 MANIFEST = "part int, name string, n_docs long, n_tokens long"
@@ -35,7 +36,7 @@ PIECE = re.compile(rf" ?[{LETTERS}]+(?=[\s{MARKS}]|\Z)| ?[{MARKS}]+(?=[\s{LETTER
 UNSURE = re.compile(r"[\x1c-\x1f\x85]")
 #: One pre-token whose first token is the only one that starts with a space.
 WORD = re.compile(rf" [{LETTERS}]+")
-MEMO = 1_000_000
+MEMO = 500_000
 
 
 class PieceCodes(dict):
@@ -151,7 +152,7 @@ _ENCODERS: dict[tuple[int, str, int], PieceEncoder] = {}
 
 
 def encoder_of(tokenizer_json: str, dtype: str, end_id: int) -> PieceEncoder:
-    """The encoder of this worker process, which outlives a task."""
+    """The encoder of this worker process, which outlives a task and is loaded once."""
     key = (zlib.crc32(tokenizer_json.encode()), dtype, end_id)
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -195,6 +196,8 @@ def _writer(tokenizer_json: str, dtype: str, folder: str, end_id: int) -> Callab
         if docs:
             ids.close()
             idx.close()
+            # The worker goes on to other tasks; the pieces of this one must not stay in its memory.
+            encoder_of(tokenizer_json, dtype, end_id).forget()
             yield pa.RecordBatch.from_pylist(
                 [{"part": part, "name": name, "n_docs": docs, "n_tokens": tokens}],
                 schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
@@ -252,7 +255,7 @@ def write_token_files(
     end_id: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rows_per_file: int = 10_000,
+    rows_per_file: int = 16_000,
 ) -> tuple[DataFrame, DataFrame, str, str]:
     """Encode every whole text and write token files in ascending id order.
 
@@ -287,7 +290,7 @@ def write_token_files(
     placed = placed.withColumn("part", part).repartitionById(len(marks) + 1, F.col("part"))
     placed = placed.sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
-    keyed = placed.select("text").mapInArrow(_writer(tokenizer_json, dtype, folder, end_id), MANIFEST)
+    keyed = text_batches(placed).select("text").mapInArrow(_writer(tokenizer_json, dtype, folder, end_id), MANIFEST)
     manifest = settle(keyed, "token-manifest")
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     manifest = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
