@@ -14,7 +14,7 @@ of bounded size, and a block returns a spanning forest of its links, not the pai
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,9 @@ HEAD_SHINGLES = 250_000
 LOT = 128
 #: Rows whose shingles a worker holds at once.
 SLICE = 256
+#: Common shingles are looked for in one of so many texts; at most so many are told apart.
+COMMON_PART = 16
+MOST_COMMON = 500_000
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -337,14 +340,126 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return text_batches(docs).select("id", "grp", "text").mapInArrow(collect, "id long, grp long, bag array<long>")
 
 
+def word_shingles(text: str | None, width: int) -> np.ndarray:
+    """Distinct 64-bit hashes, sorted, that stand for the shingles of ``shingle_hashes``; each word is hashed once."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype="<u8")
+    each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype="<u8")
+    width, turn = min(width, len(words)), np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.full(len(words) - width + 1, width, dtype="<u8")
+    for k in range(width):
+        mixed = (mixed ^ each[k : len(words) - width + 1 + k]) * turn
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def parities(bag: np.ndarray) -> np.ndarray:
+    """Parity of the hashes of ``bag`` in each of ``2**k`` slots, at least one a hash, packed into 64-bit words.
+
+    The parities of two bags differ in no more slots than the bags differ in hashes. Halves XORed are
+    the parities in half as many slots.
+    """
+    slots = max(BITS, 1 << max(0, len(bag) - 1).bit_length())
+    odd = np.bincount((bag & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def common_shingles(texts: DataFrame, width: int, rows: int) -> np.ndarray:
+    """The most frequent shingles of a sample of the distinct texts, from the rarest to the commonest."""
+    part = max(1, min(COMMON_PART, rows // 4096))
+    some = texts.withColumn("t", F.xxhash64("text")).filter(F.pmod("t", F.lit(part)) == 0).dropDuplicates(["t"]).select("text")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                bags = [word_shingles(t.as_py(), width) for t in batch.column(0).slice(at, SLICE)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bags).view("<i8"), pa.int64())], names=["h"])
+
+    counts = text_batches(some).mapInArrow(spread, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow()
+    return top.column("h").to_numpy().astype("<i8").view("<u8")[::-1]
+
+
+def prefixes(texts: DataFrame, width: int, level: float, common: np.ndarray) -> DataFrame:
+    """``id, bag, n, prefix, parity`` from ``id, text``; texts without words are left out.
+
+    Shingles are ordered by hash, those of ``common`` after all others. ``prefix`` has so many first
+    ones that a text as similar as ``level`` cannot miss all; ``bag`` is a hash of all ``n`` of them.
+    The order only decides how many pairs are looked at, not which similar ones are found.
+    """
+    names = ["id", "bag", "n", "prefix", "parity"]
+    order = np.argsort(common)
+    keys, ranks = common[order], order + 1
+
+    def cut(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+        bag = word_shingles(text, width)
+        n = len(bag)
+        if not n:
+            return None
+        first = bag
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, bag), len(keys) - 1)
+            first = bag[np.argsort(np.where(keys[at] == bag, ranks[at], 0), kind="stable")]
+        key = int(np.uint64(xxhash.xxh64_intdigest(bag.tobytes(), SEED)).view(np.int64))
+        return key, n, first[: n - ceil(level * n) + 1].view("<i8"), parities(bag)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(i, c) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (c := cut(t.as_py()))]
+            columns = [pa.array([i for i, _ in got], pa.int64())]
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns += [pa.array([c[k] for _, c in got], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return text_batches(texts).select("id", "text").mapInArrow(mark, "id long, bag long, n int, prefix array<long>, parity array<long>")
+
+
+def prefix_links(found: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``u, v``: groups of ``found`` (``id, grp``) that must be compared, as texts of both may be ``similarity`` alike.
+
+    Two texts as alike as that, with ``n`` and ``m`` shingles, share at least ``least = s / (1 + s) * (n + m)``,
+    hence one among the first ``n - least + 1`` of one and ``m - least + 1`` of the other in any common
+    order. Pairs of different groups that share one are kept if their parities differ in ``n + m - 2 * least``
+    slots at most. Both bounds are exact, so no pair of groups is missed.
+    """
+    level = similarity - 1e-9
+    marks = settle(prefixes(texts, width, level, common_shingles(texts, width, found.count())), "near-prefixes")
+    placed = marks.select("id", "bag", "n", "prefix").join(found, "id")
+    posted = placed.select("bag", "grp", "n", F.posexplode("prefix").alias("pos", "h"))
+    live = posted.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("h")
+    posted = settle(posted.join(settle(live, "near-shared"), "h").distinct(), "near-postings")
+    parity = settle(marks.groupBy("bag").agg(F.first("parity").alias("parity")), "near-parities")
+
+    a = posted.select("h", *[F.col(c).alias(f"a_{c}") for c in ("bag", "grp", "n", "pos")])
+    b = posted.select("h", *[F.col(c).alias(f"b_{c}") for c in ("bag", "grp", "n", "pos")])
+    least = F.ceil(F.lit(level / (1 + level)) * (F.col("a_n") + F.col("b_n")))
+    above = (F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & (F.col("a_grp") < F.col("b_grp"))
+    may = (F.col("a_grp") != F.col("b_grp")) & above & (F.col("a_n") >= level * F.col("b_n"))
+    may = may & (F.col("a_pos") <= F.col("a_n") - least) & (F.col("b_pos") <= F.col("b_n") - least)
+    pairs = a.join(b, "h").filter(may).select("a_bag", "a_grp", "b_bag", "b_grp", (F.col("a_n") + F.col("b_n") - 2 * least).alias("most")).distinct()
+    pairs = settle(pairs, "near-pairs")
+
+    half = (F.size("q") / 2).cast("int")
+    folded = F.zip_with(F.slice("q", F.lit(1), half), F.slice("q", half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.join(parity.select(F.col("bag").alias("a_bag"), F.col("parity").alias("p")), "a_bag")
+    pairs = pairs.join(parity.select(F.col("bag").alias("b_bag"), F.col("parity").alias("q")), "b_bag")
+    # The larger text has as many slots or, since sizes differ by a quarter at most, twice or four times as many.
+    for _ in range(max(1, ceil(-np.log2(level)))):
+        pairs = pairs.withColumn("q", F.when(F.size("q") > F.size("p"), folded).otherwise(F.col("q")))
+    return pairs.filter(apart <= F.col("most")).select(F.col("a_grp").alias("u"), F.col("b_grp").alias("v")).distinct()
+
+
 def verified_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, probe_width: int = 3, radius: int = 8
 ) -> DataFrame:
     """``id, leader``: each document that may go, and a document that stays and is as similar.
 
     SimHash components at a wide ``radius`` are only candidates; their fingerprints use shorter
-    shingles of ``probe_width`` words, which an edit changes less. On pairs at or above the default
-    similarity they find 98 %. In each component, the smallest id leads, and the documents whose
+    shingles of ``probe_width`` words, which an edit changes less. Components that may hold two texts
+    as similar are merged first (``prefix_links``, an exact bound), so no similar pair is missed.
+    In each merged component, the smallest id leads, and the documents whose
     Jaccard similarity of distinct shingles to it is ``similarity`` or more are its
     duplicates; among the others the smallest id leads next, until none is left. So everything
     returned is verified on whole texts, and no leader is as similar to an earlier one. A round
@@ -354,8 +469,12 @@ def verified_duplicates(
     and none leads. Two texts without words are equal. An empty table gives no rows.
     """
     found = settle(near_duplicates(docs, id_col, text_col, probe_width, radius).filter("id is not null").select("id", F.col("component_id").alias("grp")).distinct(), "near-candidates")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    links = settle(prefix_links(found, texts.filter("id is not null"), width, similarity), "near-links")
+    if not links.isEmpty():
+        merged = connected_components(links).withColumnRenamed("node", "grp")
+        found = settle(found.join(merged, "grp", "left").select("id", F.coalesce("root", "grp").alias("grp")).distinct(), "near-merged")
     many = found.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("grp")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = settle(found.join(many, "grp"), "near-members")
     # Texts are shuffled at any size, so that a run on a sample shows what a large one costs.
     left = settle(shingle_sets(texts.hint("merge").join(wanted, "id"), width), "near-sets")

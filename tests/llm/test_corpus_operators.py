@@ -246,6 +246,39 @@ def test_verified_duplicates(spark):
     assert verified_duplicates(frame(spark, [])).count() == 0
 
 
+def edited(rng, words, similarity, block):
+    """A text whose Jaccard similarity to ``words`` is at ``similarity`` or just above, by a block or by scattered words."""
+    bag = set(brute_bag(" ".join(words)))
+    like = lambda w: len(bag & (b := set(brute_bag(" ".join(w))))) / len(bag | b)
+    out, at = list(words), rng.sample(range(len(words)), len(words))
+    while True:
+        other = list(out)
+        if block:
+            other.append(f"n{rng.random()}")
+        else:
+            other[at.pop()] = f"n{rng.random()}"
+        if like(other) < similarity:
+            return " ".join(out)
+        out = other
+
+
+def test_verified_duplicates_at_the_limit(spark):
+    """No pair is missed, whether a block was appended or words were changed, band by band; unlike pairs stay."""
+    rng, rows, pairs = random.Random(4), [], {}
+    for block in (True, False):
+        for low, high in ((0.8, 0.82), (0.82, 0.85), (0.85, 0.9), (0.9, 0.95)):
+            for _ in range(25):
+                words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 400))]
+                rows += [(len(rows), " ".join(words), "v"), (len(rows) + 1, edited(rng, words, low, block), "v")]
+                pairs[len(rows) - 2] = (block, low, high)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows += [(5000 + k, f"{passage} " + " ".join(f"w{rng.randrange(5000)}" for _ in range(40)), "v") for k in range(60)]
+    gone = {r["id"]: r["leader"] for r in verified_duplicates(frame(spark, rows)).collect()}
+    bags = {d: set(brute_bag(t)) for d, t, _ in rows}
+    missed = Counter(band for d, band in pairs.items() if len(bags[d] & bags[d + 1]) >= 0.8 * len(bags[d] | bags[d + 1]) and gone.get(d + 1) != d)
+    assert not missed and set(gone) == {d + 1 for d in pairs}
+
+
 def brute_bag(text, width=5):
     words = (text or "").lower().split()
     return [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
