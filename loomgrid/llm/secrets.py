@@ -2,8 +2,8 @@
 
 A text is scanned for secrets as it stands. Then its encoded parts are unwrapped, each to a new
 layer with a map of every character to the span of the original text it came from: percent
-escapes and Unicode escapes give the whole layer with the escapes replaced; base64 runs give their
-decoded text, after gunzip, inflate, bunzip2 or unxz where the bytes say so. New layers are scanned and
+escapes and Unicode escapes give the whole layer with the escapes replaced; base64 runs give the
+UTF-8 stretches of their bytes in every alignment, after gunzip, inflate, bunzip2 or unxz where the bytes say so. New layers are scanned and
 unwrapped in turn until no layer is left that has not been seen.
 """
 
@@ -51,13 +51,21 @@ def scan(text: str) -> list[Span]:
     return found
 
 
-def _readable(data: bytes) -> str | None:
-    """The bytes as text if they are valid UTF-8 of printable characters and white space."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+#: Stretches of valid UTF-8, whatever their characters; the shortest secret has 12 bytes.
+UTF8 = re.compile(
+    rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
+)
+SHORTEST = 12
+#: Where compressed bytes may begin.
+PACKED = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda\x20\x3f\x7d\xbb\xf9]|BZh|\xfd7zXZ\x00")
+
+
+def _stretches(data: bytes) -> Iterator[tuple[int, str]]:
+    """Start and text of each stretch of valid UTF-8 that can hold a secret."""
+    for m in UTF8.finditer(data):
+        if m.end() - m.start() >= SHORTEST:
+            yield m.start(), m[0].decode("utf-8")
 
 
 def _unpack(data: bytes) -> bytes | None:
@@ -148,30 +156,32 @@ def _escape(run: str) -> list[tuple[str, tuple[int, int]]] | None:
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
+    """Each run of digits is decoded in all four alignments, in whichever alphabet, as a path or a name may
+    stand before the encoded part; what is valid UTF-8 or compressed in the bytes is kept."""
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or ("+" in body or "/" in body) and ("-" in body or "_" in body):
-            continue
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        whole, plain = None, True
-        packed = _unpack(data)
-        while packed is not None:
-            plain, data = False, packed
-            packed = _unpack(data)
-        text = _readable(data)
-        if text is None:
-            continue
-        if not plain:
-            whole = layer.origin(m.start(), m.end())
-        spans: list[tuple[int, int]] = []
-        at = 0
-        for char in text:
-            n = len(char.encode("utf-8"))
-            # Bytes at..at+n come from the base64 digits that hold any of their bits.
-            first, last = m.start() + at * 8 // 6, m.start() + -(-(at + n) * 8 // 6)
-            spans.append(whole or layer.origin(first, min(last, m.end())))
-            at += n
-        yield Layer(text, spans)
+        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+        for skip in range(4):
+            digits = body[skip : len(body) - ((len(body) - skip) % 4 == 1)]
+            data = base64.b64decode(digits + "=" * (-len(digits) % 4))
+            for at, text in _stretches(data):
+                spans: list[tuple[int, int]] = []
+                for char in text:
+                    n = len(char.encode("utf-8"))
+                    # Bytes at..at+n come from the base64 digits that hold any of their bits.
+                    first, last = m.start() + skip + at * 8 // 6, m.start() + skip + -(-(at + n) * 8 // 6)
+                    spans.append(layer.origin(first, min(last, m.end())))
+                    at += n
+                yield Layer(text, spans)
+            for p in PACKED.finditer(data):
+                packed = _unpack(data[p.start() :])
+                whole = layer.origin(m.start() + skip + p.start() * 8 // 6, m.end())
+                while packed:
+                    inner = packed
+                    packed = _unpack(inner)
+                    if not packed or packed == inner:
+                        for _, text in _stretches(inner):
+                            yield Layer(text, [whole] * len(text))
+                        break
 
 
 def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:

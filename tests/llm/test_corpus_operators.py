@@ -474,3 +474,17 @@ def test_secrets(spark):
             assert r["base"] == ",".join(f"{k}:{a}:{b}" for k, a, b in base)
             assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex"))
     assert len(out) == len(rows) and secret_spans(frame(spark, [])).count() == 0
+
+
+def test_secrets_in_joined_runs():
+    """An encoded secret is found after a path or a name, in either alphabet, and beside unprintable characters."""
+    secret = "password=hunter2secretvalue"
+    code = base64.b64encode(secret.encode()).decode()
+    packed = base64.b64encode(gzip.compress(secret.encode())).decode().rstrip("=")
+    for before in ("token ", "data:text/plain;base64,", "https://h.example/d/", "files/", "id-", "a_", "x", "ab", "abc", "long_name-of/some_path-"):
+        assert ("assign", len(before), len(before) + len(code.rstrip("="))) in find_secrets(before + code)[1]
+        assert ("assign", len(before), len(before) + len(packed)) in find_secrets(before + packed)[1]
+    for odd in ("\u00a0", "\u3000", "\u200b", "\ufeff", "\x07"):
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            text = "see " + encode(f"some prose{odd} {secret} and {odd}more".encode()).decode()
+            assert [k for k, _, _ in find_secrets(text)[1]] == ["assign"]
