@@ -16,6 +16,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,12 @@ KINDS = ("assign", "access", "hex")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Bytes to which one compressed part may grow; what lies beyond is not scanned.
-MAX_UNPACKED = 1 << 26
+#: Decompressed parts of any size are scanned in blocks of about so many bytes, which overlap; only an encoded part
+#: longer than the overlap may be cut by the end of a block.
+PIECE = 1 << 22
+OVERLAP = 1 << 20
+#: Compressed layers inside each other; data that unpacks to itself would have no end.
+DEEPEST = 64
 
 Span = tuple[str, int, int]
 
@@ -68,20 +73,69 @@ def _stretches(data: bytes) -> Iterator[tuple[int, str]]:
             yield m.start(), m[0].decode("utf-8")
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """One compressed layer undone, or None if the bytes are not compressed."""
+def _opener(head: bytes):
+    """What makes a decompressor for bytes that begin with ``head``, or None if they are not compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    return None
+
+
+def _inflated(chunks: Iterator[bytes], opener, rests: list[int]) -> Iterator[bytes]:
+    """Decompressed pieces of bounded size of every member, up to the end or the first damaged byte.
+
+    ``rests`` gets the number of bytes of the chunk that are left after each member.
+    """
+    unit = opener()
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_UNPACKED)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_UNPACKED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_UNPACKED)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_UNPACKED)
+        for data in chunks:
+            while data:
+                if isinstance(unit, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                    out = unit.decompress(data, PIECE)
+                    data = b"" if unit.eof or unit.needs_input else None
+                else:
+                    out = unit.decompress(data, PIECE)
+                    data = unit.unconsumed_tail
+                yield out
+                while data is None:
+                    yield unit.decompress(b"", PIECE)
+                    data = b"" if unit.eof or unit.needs_input else None
+                if unit.eof:
+                    data, unit = unit.unused_data, opener()
+                    rests.append(len(data))
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        pass
-    return None
+        return
+
+
+def _unpacked(chunks: Iterator[bytes], rests: list[int], depth: int = 0) -> Iterator[bytes]:
+    """The chunks with every compressed layer undone; nothing if the outermost is not compressed."""
+    head = b""
+    for chunk in chunks:
+        head += chunk
+        if len(head) >= 6:
+            break
+    opener, whole = _opener(head), chain([head], chunks)
+    if opener and depth < DEEPEST:
+        yield from _unpacked(_inflated(whole, opener, rests), [], depth + 1)
+    elif depth:
+        yield from whole
+
+
+def _blocks(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The chunks in blocks that overlap by ``OVERLAP`` bytes, so that what lies across a cut is in one of them."""
+    held, fresh = b"", 0
+    for chunk in chunks:
+        held, fresh = held + chunk, fresh + len(chunk)
+        if len(held) >= PIECE:
+            yield held
+            held, fresh = held[-OVERLAP:], 0
+    if fresh:
+        yield held
 
 
 class Layer:
@@ -172,16 +226,16 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
                     spans.append(layer.origin(first, min(last, m.end())))
                     at += n
                 yield Layer(text, spans)
+            done = 0
             for p in PACKED.finditer(data):
-                packed = _unpack(data[p.start() :])
+                if p.start() < done:
+                    continue
+                rests: list[int] = []
                 whole = layer.origin(m.start() + skip + p.start() * 8 // 6, m.end())
-                while packed:
-                    inner = packed
-                    packed = _unpack(inner)
-                    if not packed or packed == inner:
-                        for _, text in _stretches(inner):
-                            yield Layer(text, [whole] * len(text))
-                        break
+                for block in _blocks(_unpacked(iter([data[p.start() :]]), rests)):
+                    for _, text in _stretches(block):
+                        yield Layer(text, [whole] * len(text))
+                done = len(data) - rests[-1] if rests else done
 
 
 def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -204,8 +258,7 @@ def find_secrets(text: str | None) -> tuple[list[Span], list[Span]]:
             new.append(_replaced(layer, PERCENT, _percent))
         if "\\" in layer.text:
             new.append(_replaced(layer, ESCAPE, _escape))
-        new += _base64_layers(layer)
-        for found in new:
+        for found in chain(new, _base64_layers(layer)):
             if found is None or not found.text:
                 continue
             mark = (found.text, found.origin(0, len(found.text)))

@@ -2,8 +2,10 @@
 texts, ties, repeated rows, empty tables and extra columns with clashing names."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -488,3 +490,13 @@ def test_secrets_in_joined_runs():
         for encode in (base64.b64encode, base64.urlsafe_b64encode):
             text = "see " + encode(f"some prose{odd} {secret} and {odd}more".encode()).decode()
             assert [k for k, _, _ in find_secrets(text)[1]] == ["assign"]
+
+
+def test_secrets_in_long_and_joined_parts():
+    """All members of a compressed part are scanned, and all of it beyond 64 MB, also behind a cut character."""
+    secret, plain = b"password=hunter2secretvalue", b"nothing to see here, only prose"
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        text = "see " + base64.b64encode(pack(plain) + pack(secret)).decode()
+        assert ("assign", 4, len(text)) in find_secrets(text)[1]
+    text = "see " + base64.b64encode(gzip.compress(gzip.compress("é".encode() * (33 << 20) + b" " + secret, 1), 1)).decode()
+    assert [k for k, _, _ in find_secrets(text)[1]] == ["assign"]
