@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -51,6 +51,16 @@ def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``settle``, and aggregates of the table that the same write takes, so that no job rereads it.
+
+    They are taken in the write's own stage, whose tasks count once each even if they run again.
+    """
+    seen = Observation()
+    table = settle(df.observe(seen, *[e.alias(k) for k, e in measures.items()]), name)
+    return table, seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch folder; results not yet read are lost."""
     jvm = spark.sparkContext._jvm
