@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.batches import text_batches
-from loomgrid.operators.components import connected_components
-from loomgrid.scratch import scratch_path, settle
+from loomgrid.operators.components import connected_components, forest
+from loomgrid.scratch import settle, settle_measured
 
 BITS = 64
 SEED = 42
@@ -35,9 +35,11 @@ LANE = 255
 HEAD_SHINGLES = 250_000
 #: Documents of a component that are compared with a round's leaders in one piece.
 LOT = 128
+#: Leaders of a group in the rounds that go before its pairs.
+ROUNDS = (2, 32)
 #: Rows whose shingles a worker holds at once.
 SLICE = 256
-#: Common shingles are looked for in one of so many texts; at most so many are told apart.
+#: Common shingles are looked for in one of so many texts; at most so many are told apart. They only order prefixes.
 COMMON_PART = 16
 MOST_COMMON = 500_000
 
@@ -65,12 +67,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
     A bit is set if it is set in over half of the shingles' hashes; no words give 0.
     """
-    hashes = shingle_hashes(text, width)
-    if not hashes:
+    return majority(np.array(shingle_hashes(text, width), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit integer."""
+    if not len(hashes):
         return 0
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), LANE * 256):
-        block = np.array(hashes[at : at + LANE * 256], dtype="<u8")
+        block = hashes[at : at + LANE * 256]
         bits = np.zeros((-(-len(block) // LANE) * LANE, BITS), dtype=np.uint8)
         bits[: len(block)] = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         # At most LANE ones meet in a byte before they are widened.
@@ -91,8 +97,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return wanted.mapInArrow(mark, "id long, fp long")
 
 
-def bit_correlation(nodes: DataFrame) -> np.ndarray:
-    """Absolute correlation of the bits over all fingerprints; the driver gets 64 x 64 sums."""
+def bit_correlation(nodes: DataFrame) -> tuple[np.ndarray, int]:
+    """Absolute correlation of the bits over all fingerprints, and their number; the driver gets 64 x 64 sums."""
     schema = pa.schema([("sums", pa.list_(pa.float64()))])
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +116,11 @@ def bit_correlation(nodes: DataFrame) -> np.ndarray:
         sums[r["pos"]] = r["s"]
     sums = sums.reshape(BITS + 1, BITS + 1)
     n = max(1.0, sums[BITS, BITS])
+    number = int(sums[BITS, BITS])
     mean = sums[:BITS, BITS] / n
     cov = sums[:BITS, :BITS] / n - np.outer(mean, mean)
     spread = np.sqrt(np.clip(np.diag(cov), 1e-12, None))
-    return np.abs(cov / np.outer(spread, spread))
+    return np.abs(cov / np.outer(spread, spread)), number
 
 
 def group_bits(correlation: np.ndarray, partitions: int) -> list[list[int]]:
@@ -201,11 +208,11 @@ def masks(width: int, t: int) -> list[int]:
     return found
 
 
-def search_plan(nodes: DataFrame, radius: int) -> tuple[list[list[int]], list[int]]:
-    """Bit groups and thresholds, from statistics of all fingerprints."""
-    n = nodes.count()
+def search_plan(nodes: DataFrame, radius: int) -> tuple[list[list[int]], list[int], int]:
+    """Bit groups and thresholds, from statistics of all fingerprints, and the number of these."""
+    correlation, n = bit_correlation(nodes)
     if n < 2:
-        return group_bits(np.eye(BITS), 4), allocate([[0.0] * (radius + 2)] * 4, radius)
+        return group_bits(np.eye(BITS), 4), allocate([[0.0] * (radius + 2)] * 4, radius), n
 
     def even_cost(m: int) -> float:
         w = BITS // m
@@ -214,13 +221,13 @@ def search_plan(nodes: DataFrame, radius: int) -> tuple[list[list[int]], list[in
 
     # Partitions of at least FOLD_BITS bits.
     m = min(range(2, min(radius + 1, BITS // FOLD_BITS) + 1), key=even_cost)
-    groups = group_bits(bit_correlation(nodes), m)
+    groups = group_bits(correlation, m)
     folds = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright(partition_value(F.col("fp"), g), len(g) - FOLD_BITS).cast("int").alias("v")) for i, g in enumerate(groups)])
     seen = nodes.select(F.explode(folds).alias("f")).groupBy("f.i", "f.v").agg(F.count(F.lit(1)).alias("n")).collect()
     tables = np.zeros((m, 2**FOLD_BITS))
     for r in seen:
         tables[r["i"], r["v"]] = r["n"]
-    return groups, allocate([costs_from_histogram(tables[i], len(g), radius) for i, g in enumerate(groups)], radius)
+    return groups, allocate([costs_from_histogram(tables[i], len(g), radius) for i, g in enumerate(groups)], radius), n
 
 
 def _forest(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -250,18 +257,28 @@ def _forest(radius: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def chained(index: DataFrame, radius: int) -> DataFrame:
-    """``u, v``: neighbours in the order of each bucket that are within ``radius``, at most a link a row.
+    """``u, v``: forests of the links between neighbours in the order of each bucket that are within ``radius``.
 
     The order is by the fingerprint, rotated differently for each partition. This joins most of a
-    group of near copies without looking at its pairs.
+    group of near copies without looking at its pairs. Rows are dealt by ranges of the order, so a bucket
+    may lie in several tasks; neighbours across a border are left to the search that follows.
     """
     turned = F.col("fp")
     for part in range(1, 5):
         turn = 13 * part
         turned = F.when(F.col("part") == part, F.shiftleft(F.col("fp"), turn).bitwiseOR(F.shiftrightunsigned(F.col("fp"), BITS - turn))).otherwise(turned)
-    order = Window.partitionBy("part", "value").orderBy(turned)
-    pairs = index.select(F.col("fp").alias("u"), F.lag("fp").over(order).alias("v"))
-    return pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
+    order = ["part", "value", "turned"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, value, fp = (batch.column(k).to_numpy() for k in range(3))
+            near = (part[1:] == part[:-1]) & (value[1:] == value[:-1]) & (np.bitwise_count((fp[1:] ^ fp[:-1]).view(np.uint64)) <= radius)
+            node, root = forest(fp[1:][near], fp[:-1][near])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["u", "v"])
+
+    places = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.withColumn("turned", turned).repartitionByRange(places, *order).sortWithinPartitions(*order)
+    return dealt.select("part", "value", "fp").mapInArrow(link, "u long, v long")
 
 
 def fingerprint_links(nodes: DataFrame, radius: int, block: int = 1024, crowd: int | None = None) -> DataFrame:
@@ -272,9 +289,9 @@ def fingerprint_links(nodes: DataFrame, radius: int, block: int = 1024, crowd: i
     a few times the mean) is cut into blocks of about ``block`` by ``block``, which are compared whole;
     the others are joined.
     """
-    groups, thresholds = search_plan(nodes, radius)
+    groups, thresholds, n = search_plan(nodes, radius)
     used = [(i, g, t) for i, (g, t) in enumerate(zip(groups, thresholds)) if t >= 0]
-    fp, key, n = F.col("fp"), ["part", "value"], nodes.count()
+    fp, key = F.col("fp"), ["part", "value"]
     where = F.array(*[F.struct(F.lit(i).alias("part"), partition_value(fp, g).alias("value")) for i, g, _ in used])
     first = settle(chained(nodes.select("fp", F.explode(where).alias("at")).select("fp", "at.part", "at.value"), radius), "chained")
     known = connected_components(first).select(F.col("node").alias("fp"), F.col("root").alias("comp"))
@@ -306,52 +323,47 @@ def fingerprint_links(nodes: DataFrame, radius: int, block: int = 1024, crowd: i
     return first.unionByName(links).unionByName(forest).distinct()
 
 
+def fingerprint_roots(marks: DataFrame, radius: int) -> DataFrame:
+    """``fp, least, root``: each fingerprint of ``marks`` (``id, fp``), its smallest id and its component."""
+    nodes = settle(marks.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-nodes")
+    roots = connected_components(fingerprint_links(nodes, radius))
+    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return settle(placed, "fingerprint-roots")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4
 ) -> DataFrame:
     """``id, fp, component_id`` for every row: near-duplicates share the smallest id reachable.
 
     Links are pairs of fingerprints that differ by ``radius`` bits at most; components are closed
-    under links. Null and empty texts have fingerprint 0 and are linked like any other. Rows
-    without an id belong to components but never name them; a component of such rows only has
-    a null id. Repeated rows share a component. An empty table gives no rows; other columns are
-    ignored.
+    under links. Texts of any length are read whole. Null and empty texts have fingerprint 0 and are
+    linked like any other. Rows without an id belong to components but never name them; a component of
+    such rows only has a null id. Repeated rows share a component. An empty table gives no rows; other
+    columns are ignored.
     """
     marks = settle(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = settle(marks.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-nodes")
-    roots = connected_components(fingerprint_links(nodes, radius))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = settle(placed, "fingerprint-roots")
+    placed = fingerprint_roots(marks, radius)
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return marks.join(placed.join(names, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``id, grp, bag`` from ``id, grp, text``: the distinct shingle hashes of each text."""
-    schema = pa.schema([("id", pa.int64()), ("grp", pa.int64()), ("bag", pa.list_(pa.int64()))])
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                bags = [np.unique(np.array(shingle_hashes(t.as_py(), width), dtype="<u8")).view("<i8") for t in batch.column(2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.int64()))], schema=schema)
-
-    return text_batches(docs).select("id", "grp", "text").mapInArrow(collect, "id long, grp long, bag array<long>")
+def word_marks(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word in order; A-Z is lower-cased, words are runs of anything but ASCII white space."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype="<u8")
 
 
-def word_shingles(text: str | None, width: int) -> np.ndarray:
-    """Distinct 64-bit hashes, sorted, that stand for the shingles of ``shingle_hashes``; each word is hashed once."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, dtype="<u8")
-    each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype="<u8")
+def word_shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes that stand for the shingles of the words in order, repeats included; fewer words are one."""
+    if not len(words):
+        return words
     width, turn = min(width, len(words)), np.uint64(0x9E3779B97F4A7C15)
     mixed = np.full(len(words) - width + 1, width, dtype="<u8")
     for k in range(width):
-        mixed = (mixed ^ each[k : len(words) - width + 1 + k]) * turn
+        mixed = (mixed ^ words[k : len(words) - width + 1 + k]) * turn
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    return mixed
 
 
 def parities(bag: np.ndarray) -> np.ndarray:
@@ -365,15 +377,14 @@ def parities(bag: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def common_shingles(texts: DataFrame, width: int, rows: int) -> np.ndarray:
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """The most frequent shingles of a sample of the distinct texts, from the rarest to the commonest."""
-    part = max(1, min(COMMON_PART, rows // 4096))
-    some = texts.withColumn("t", F.xxhash64("text")).filter(F.pmod("t", F.lit(part)) == 0).dropDuplicates(["t"]).select("text")
+    some = texts.withColumn("t", F.xxhash64("text")).filter(F.pmod("t", F.lit(COMMON_PART)) == 0).dropDuplicates(["t"]).select("text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                bags = [word_shingles(t.as_py(), width) for t in batch.column(0).slice(at, SLICE)]
+                bags = [np.unique(word_shingles(word_marks(t.as_py()), width)) for t in batch.column(0).slice(at, SLICE)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bags).view("<i8"), pa.int64())], names=["h"])
 
     counts = text_batches(some).mapInArrow(spread, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
@@ -381,61 +392,69 @@ def common_shingles(texts: DataFrame, width: int, rows: int) -> np.ndarray:
     return top.column("h").to_numpy().astype("<i8").view("<u8")[::-1]
 
 
-def prefixes(texts: DataFrame, width: int, level: float, common: np.ndarray) -> DataFrame:
-    """``id, bag, n, prefix, parity`` from ``id, text``; texts without words are left out.
+def shingle_marks(texts: DataFrame, width: int, level: float, probe_width: int, common: np.ndarray) -> DataFrame:
+    """``id, probe, fp, bag, n, prefix, parity`` from ``id, probe, text``, in one pass over the texts.
 
-    Shingles are ordered by hash, those of ``common`` after all others. ``prefix`` has so many first
-    ones that a text as similar as ``level`` cannot miss all; ``bag`` is a hash of all ``n`` of them.
-    The order only decides how many pairs are looked at, not which similar ones are found.
+    ``fp`` is the SimHash of shingles of ``probe_width`` words; ``bag`` is a 128-bit hash of the ``n`` distinct
+    shingles of ``width``. These are ordered by hash, those of ``common`` after all others, and ``prefix`` has
+    so many first ones that a text as similar as ``level`` cannot miss all. The order only decides how many
+    pairs are looked at, not which similar ones are found.
     """
-    names = ["id", "bag", "n", "prefix", "parity"]
     order = np.argsort(common)
-    keys, ranks = common[order], order + 1
-
-    def cut(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray] | None:
-        bag = word_shingles(text, width)
-        n = len(bag)
-        if not n:
-            return None
-        first = bag
-        if len(keys):
+    keys, ranks = common[order], (order + 1).astype(np.int32)
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["id", "probe", "fp", "bag", "n", "prefix", "parity"]
+
+    def cut(text: str | None) -> tuple[int, bytes, int, np.ndarray, np.ndarray]:
+        words = word_marks(text)
+        bag = np.unique(word_shingles(words, width))
+        n, first = len(bag), bag
+        if len(keys) and n:
             at = np.minimum(np.searchsorted(keys, bag), len(keys) - 1)
             first = bag[np.argsort(np.where(keys[at] == bag, ranks[at], 0), kind="stable")]
-        key = int(np.uint64(xxhash.xxh64_intdigest(bag.tobytes(), SEED)).view(np.int64))
-        return key, n, first[: n - ceil(level * n) + 1].view("<i8"), parities(bag)
+        fp = majority(word_shingles(words, probe_width))
+        return fp, xxhash.xxh3_128_digest(bag.tobytes()), n, first[: n - ceil(level * n) + bool(n)].view("<i8"), parities(bag)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(i, c) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) if (c := cut(t.as_py()))]
-            columns = [pa.array([i for i, _ in got], pa.int64())]
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns += [pa.array([c[k] for _, c in got], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            got = [cut(t.as_py()) for t in batch.column(2)]
+            columns = [pa.array([c[k] for c in got], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=names)
+
+    return text_batches(texts).select("id", "probe", "text").mapInArrow(
+        mark, "id long, probe long, fp long, bag binary, n int, prefix array<long>, parity array<long>"
+    )
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``id, probe, grp, bag, shingles`` from ``id, probe, grp, bag, text``: the distinct shingles of each text."""
+    schema = pa.schema([("id", pa.int64()), ("probe", pa.int64()), ("grp", pa.int64()), ("bag", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                sets = [np.unique(word_shingles(word_marks(t.as_py()), width)).view("<i8") for t in batch.column(4)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
-    return text_batches(texts).select("id", "text").mapInArrow(mark, "id long, bag long, n int, prefix array<long>, parity array<long>")
+    return text_batches(texts).select("id", "probe", "grp", "bag", "text").mapInArrow(collect, "id long, probe long, grp long, bag binary, shingles array<long>")
 
 
-def prefix_links(found: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``u, v``: groups of ``found`` (``id, grp``) that must be compared, as texts of both may be ``similarity`` alike.
+def sharing_pairs(posted: DataFrame, bags: DataFrame, level: float, within: bool) -> DataFrame:
+    """``a_bag, a_grp, b_bag, b_grp`` that may be as similar as ``level``, from ``h, bag, grp, n, pos``.
 
-    Two texts as alike as that, with ``n`` and ``m`` shingles, share at least ``least = s / (1 + s) * (n + m)``,
+    Two bags as alike as that, with ``n`` and ``m`` shingles, share at least ``least = s / (1 + s) * (n + m)``,
     hence one among the first ``n - least + 1`` of one and ``m - least + 1`` of the other in any common
-    order. Pairs of different groups that share one are kept if their parities differ in ``n + m - 2 * least``
-    slots at most. Both bounds are exact, so no pair of groups is missed.
+    order. Pairs that share one are kept if their parities differ in ``n + m - 2 * least`` slots at most.
+    Both bounds are exact, so no pair is missed. Pairs of the same group only (``within``), or of different ones.
     """
-    level = similarity - 1e-9
-    marks = settle(prefixes(texts, width, level, common_shingles(texts, width, found.count())), "near-prefixes")
-    placed = marks.select("id", "bag", "n", "prefix").join(found, "id")
-    posted = placed.select("bag", "grp", "n", F.posexplode("prefix").alias("pos", "h"))
-    live = posted.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("h")
-    posted = settle(posted.join(settle(live, "near-shared"), "h").distinct(), "near-postings")
-    parity = settle(marks.groupBy("bag").agg(F.first("parity").alias("parity")), "near-parities")
-
     a = posted.select("h", *[F.col(c).alias(f"a_{c}") for c in ("bag", "grp", "n", "pos")])
     b = posted.select("h", *[F.col(c).alias(f"b_{c}") for c in ("bag", "grp", "n", "pos")])
     least = F.ceil(F.lit(level / (1 + level)) * (F.col("a_n") + F.col("b_n")))
-    above = (F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & (F.col("a_grp") < F.col("b_grp"))
-    may = (F.col("a_grp") != F.col("b_grp")) & above & (F.col("a_n") >= level * F.col("b_n"))
+    tie = F.col("a_bag") < F.col("b_bag") if within else F.col("a_grp") < F.col("b_grp")
+    above = (F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & tie
+    same = F.col("a_grp") == F.col("b_grp")
+    may = (same if within else ~same) & above & (F.col("a_n") >= level * F.col("b_n"))
     may = may & (F.col("a_pos") <= F.col("a_n") - least) & (F.col("b_pos") <= F.col("b_n") - least)
     pairs = a.join(b, "h").filter(may).select("a_bag", "a_grp", "b_bag", "b_grp", (F.col("a_n") + F.col("b_n") - 2 * least).alias("most")).distinct()
     pairs = settle(pairs, "near-pairs")
@@ -443,12 +462,125 @@ def prefix_links(found: DataFrame, texts: DataFrame, width: int, similarity: flo
     half = (F.size("q") / 2).cast("int")
     folded = F.zip_with(F.slice("q", F.lit(1), half), F.slice("q", half + 1, half), lambda x, y: x.bitwiseXOR(y))
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    pairs = pairs.join(parity.select(F.col("bag").alias("a_bag"), F.col("parity").alias("p")), "a_bag")
-    pairs = pairs.join(parity.select(F.col("bag").alias("b_bag"), F.col("parity").alias("q")), "b_bag")
+    pairs = pairs.join(bags.select(F.col("bag").alias("a_bag"), F.col("parity").alias("p")), "a_bag")
+    pairs = pairs.join(bags.select(F.col("bag").alias("b_bag"), F.col("parity").alias("q")), "b_bag")
     # The larger text has as many slots or, since sizes differ by a quarter at most, twice or four times as many.
     for _ in range(max(1, ceil(-np.log2(level)))):
         pairs = pairs.withColumn("q", F.when(F.size("q") > F.size("p"), folded).otherwise(F.col("q")))
-    return pairs.filter(apart <= F.col("most")).select(F.col("a_grp").alias("u"), F.col("b_grp").alias("v")).distinct()
+    return pairs.filter(apart <= F.col("most")).select("a_bag", "a_grp", "b_bag", "b_grp")
+
+
+def similar(a: Column, b: Column, level: float) -> Column:
+    """Whether two sets are as similar as ``level``; two empty ones are. None exceeds the ratio of the sizes, which is looked at first."""
+    fits = (F.size(a) >= level * F.size(b)) & (F.size(b) >= level * F.size(a))
+    return F.when(fits, F.size(F.array_intersect(a, b)) * (1 + level) >= level * (F.size(a) + F.size(b))).otherwise(False)
+
+
+def lead_round(left: DataFrame, some: int, level: float) -> DataFrame:
+    """``left`` (``row, grp, bag, shingles``) with ``leader``: the first of the group's leaders that each is similar to.
+
+    Leaders are among the ``some`` smallest rows of a group, as many as fit ``HEAD_SHINGLES``, but one at
+    least: each of these that is not similar to one before. A large group is compared in lots, each with
+    a copy of the leaders.
+    """
+
+    def lead(held: Column, c: Column) -> Column:
+        return F.when(F.exists(held, lambda h: similar(h["shingles"], c["shingles"], level)), held).otherwise(F.concat(held, F.array(c)))
+
+    by_row = Window.partitionBy("grp").orderBy("row")
+    least = left.select("grp", "row", F.size("shingles").alias("n")).withColumn("place", F.row_number().over(by_row)).filter(F.col("place") <= some)
+    least = least.withColumn("upto", F.sum("n").over(by_row)).filter((F.col("place") == 1) | (F.col("upto") <= HEAD_SHINGLES))
+    heads = left.join(least.select("grp", "row"), ["grp", "row"]).groupBy("grp")
+    heads = heads.agg(F.array_sort(F.collect_list(F.struct("row", "shingles"))).alias("heads"))
+    lots = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
+    empty = F.array().cast("array<struct<row:struct<id:bigint,probe:bigint>,shingles:array<bigint>>>")
+    heads = heads.select("grp", F.aggregate("heads", empty, lead).alias("heads")).join(lots, "grp")
+    heads = heads.select("grp", "heads", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    dealt = left.join(lots, "grp").select("row", "grp", "bag", "shingles", F.pmod(F.xxhash64("row"), F.col("lots")).cast("int").alias("lot"))
+    # The work is in comparing, not in bytes, so these partitions must not be merged for being small.
+    dealt = dealt.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "lot")
+    first = F.get(F.filter("heads", lambda h: similar(F.col("shingles"), h["shingles"], level)), F.lit(0))["row"]
+    return dealt.join(heads, ["grp", "lot"]).select("row", "grp", "bag", "shingles", first.alias("leader"))
+
+
+def pair_leaders(left: DataFrame, bags: DataFrame, level: float) -> DataFrame:
+    """``row, leader`` of the rows of ``left`` that go, by the similar pairs within each group.
+
+    A row leads if no smaller row that it is similar to leads; the others go. Decided in rounds over the
+    pairs that are still open: a row without a smaller open neighbour leads, and its neighbours go.
+    """
+    posted = left.select("grp", "bag").join(bags.select("bag", "n", "prefix"), "bag").select("bag", "grp", "n", F.posexplode("prefix").alias("pos", "h"))
+    pairs = sharing_pairs(posted, bags, level, within=True)
+    side = lambda k: left.select(F.col("grp").alias("a_grp"), F.col("bag").alias(f"{k}_bag"), F.col("row").alias(f"{k}_row"), F.col("shingles").alias(f"{k}_set"))
+    alike = pairs.drop("b_grp").join(side("a"), ["a_grp", "a_bag"]).join(side("b"), ["a_grp", "b_bag"]).filter(similar(F.col("a_set"), F.col("b_set"), level))
+    open_, seen = settle_measured(alike.select(F.least("a_row", "b_row").alias("u"), F.greatest("a_row", "b_row").alias("v")), "near-edges", n=F.count(F.lit(1)))
+    gone = open_.select(F.col("v").alias("row"), F.col("u").alias("leader")).limit(0)
+    while seen["n"]:
+        first = open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        lost = open_.join(first, "u").groupBy("v").agg(F.min("u").alias("leader"))
+        judged = open_.join(lost, "v", "left").join(lost.select(F.col("v").alias("u"), F.lit(True).alias("out")), "u", "left")
+        stays_open = F.col("leader").isNull() & F.col("out").isNull()
+        judged, seen = settle_measured(judged.select("u", "v", "leader", stays_open.alias("open")), "near-edges", n=F.count_if("open"))
+        gone = gone.unionByName(judged.filter("leader is not null").select(F.col("v").alias("row"), "leader"))
+        open_ = judged.filter("open").select("u", "v")
+    return gone.distinct()
+
+
+def duplicate_rows(
+    docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, probe_width: int, radius: int
+) -> tuple[DataFrame, DataFrame, bool]:
+    """``row`` of all distinct rows with an id, ``row, leader`` of those that go, and whether whole rows repeat.
+
+    ``row`` is the id with a hash of the text, so texts that share an id are judged apart. Copies of a
+    bag of shingles follow its smallest row, and only these are compared:
+
+    1. SimHash components at a wide ``radius``, with shingles of ``probe_width`` words, which an edit changes less,
+       group most near copies; groups that may hold two texts as similar are merged by ``sharing_pairs``.
+    2. Two rounds of leaders empty the groups in which many are similar to a few, without looking at their pairs.
+    3. What is left is decided by the similar pairs themselves (``pair_leaders``).
+
+    In effect rows are taken by id, and each goes that is similar to one that stays before it.
+    """
+    level = similarity - 1e-9
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("probe"), text.alias("text")).filter("id is not null")
+    marks, seen = settle_measured(shingle_marks(texts, width, level, probe_width, common_shingles(texts, width)), "near-marks", n=F.count(F.lit(1)))
+    roots = fingerprint_roots(marks.select("id", "fp"), radius).select("fp", F.col("root").alias("grp"))
+    found = marks.select("id", "probe", "fp", "bag", "n").join(roots, "fp").select(F.struct("id", "probe").alias("row"), "bag", "grp").distinct()
+    found, distinct = settle_measured(found, "near-found", n=F.count(F.lit(1)))
+    bags = settle(marks.groupBy("bag").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "parity")]), "near-bags")
+
+    held = found.select("bag", "grp").distinct()
+    posted = held.join(bags.select("bag", "n", "prefix"), "bag").select("bag", "grp", "n", F.posexplode("prefix").alias("pos", "h"))
+    live = posted.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("h")
+    posted = settle(posted.join(live, "h"), "near-postings")
+    links = sharing_pairs(posted, bags, level, within=False).select(F.col("a_grp").alias("u"), F.col("b_grp").alias("v")).distinct()
+    merged = connected_components(links).withColumnRenamed("node", "grp")
+    # Rows of one bag are of one group by now.
+    reps = found.join(merged, "grp", "left").groupBy("bag").agg(F.min("row").alias("row"), F.min(F.coalesce("root", "grp")).alias("grp"))
+    reps = settle(reps, "near-reps")
+
+    many = reps.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("grp")
+    wanted = reps.join(many, "grp").select("row.id", "row.probe", "grp", "bag")
+    # Texts are shuffled at any size, so that a run on a sample shows what a large one costs.
+    sets = shingle_sets(texts.hint("merge").join(wanted, ["id", "probe"]), width)
+    left = settle(sets.dropDuplicates(["id", "probe"]) if seen["n"] > distinct["n"] else sets, "near-sets")
+    left = left.select(F.struct("id", "probe").alias("row"), "grp", "bag", "shingles")
+    verdicts = []
+    for some in ROUNDS:
+        judged = lead_round(left, some, level)
+        judged = settle(judged.select("row", "grp", "bag", "leader", F.when(F.col("leader").isNull() | (F.col("leader") == F.col("row")), F.col("shingles")).alias("shingles")), "near-round")
+        verdicts.append(judged.filter("leader <> row").select("row", "leader"))
+        left = judged.filter("leader is null").select("row", "grp", "bag", "shingles")
+    verdicts.append(pair_leaders(left, bags, level))
+    ruled = verdicts[0]
+    for more in verdicts[1:]:
+        ruled = ruled.unionByName(more)
+
+    best = reps.select("bag", F.col("row").alias("rep")).join(ruled.withColumnRenamed("row", "rep"), "rep", "left")
+    told = found.select("row", "bag").distinct().join(best, "bag").filter((F.col("row") != F.col("rep")) | F.col("leader").isNotNull())
+    gone = settle(told.select("row", F.coalesce("leader", "rep").alias("leader")), "near-gone")
+    return found.select("row").distinct(), gone, seen["n"] > distinct["n"]
 
 
 def verified_duplicates(
@@ -456,62 +588,33 @@ def verified_duplicates(
 ) -> DataFrame:
     """``id, leader``: each document that may go, and a document that stays and is as similar.
 
-    SimHash components at a wide ``radius`` are only candidates; their fingerprints use shorter
-    shingles of ``probe_width`` words, which an edit changes less. Components that may hold two texts
-    as similar are merged first (``prefix_links``, an exact bound), so no similar pair is missed.
-    In each merged component, the smallest id leads, and the documents whose
-    Jaccard similarity of distinct shingles to it is ``similarity`` or more are its
-    duplicates; among the others the smallest id leads next, until none is left. So everything
-    returned is verified on whole texts, and no leader is as similar to an earlier one. A round
-    settles the smallest few ids of each component, more in later rounds.
+    Documents are taken by id, and each goes whose Jaccard similarity of distinct shingles to one that
+    stays before it is ``similarity`` or more. So everything returned is verified on whole texts of any length,
+    no two that stay are as similar, and no similar pair is missed (``duplicate_rows``).
 
     Rows without an id are never returned. An id of several texts is a duplicate if one of them is
-    and none leads. Two texts without words are equal. An empty table gives no rows.
+    and none stays. Two texts without words are equal. An empty table gives no rows; other columns are
+    ignored.
     """
-    found = settle(near_duplicates(docs, id_col, text_col, probe_width, radius).filter("id is not null").select("id", F.col("component_id").alias("grp")).distinct(), "near-candidates")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    links = settle(prefix_links(found, texts.filter("id is not null"), width, similarity), "near-links")
-    if not links.isEmpty():
-        merged = connected_components(links).withColumnRenamed("node", "grp")
-        found = settle(found.join(merged, "grp", "left").select("id", F.coalesce("root", "grp").alias("grp")).distinct(), "near-merged")
-    many = found.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("grp")
-    wanted = settle(found.join(many, "grp"), "near-members")
-    # Texts are shuffled at any size, so that a run on a sample shows what a large one costs.
-    left = settle(shingle_sets(texts.hint("merge").join(wanted, "id"), width), "near-sets")
-    spark, ruled, some = docs.sparkSession, scratch_path(docs.sparkSession, "near-ruled"), 2
+    found, gone, _ = duplicate_rows(docs, id_col, text_col, width, similarity, probe_width, radius)
+    stays = found.join(gone.select("row"), "row", "left_anti").select("row.id").distinct()
+    return gone.select("row.id", F.col("leader.id").alias("leader")).join(stays, "id", "left_anti").groupBy("id").agg(F.min("leader").alias("leader"))
 
-    def like(a: Column, b: Column) -> Column:
-        # No similarity exceeds the ratio of the sizes, which is looked at first.
-        level = similarity - 1e-9
-        fits = (F.size(a) >= level * F.size(b)) & (F.size(b) >= level * F.size(a))
-        return F.when(fits, F.size(F.array_intersect(a, b)) * (1 + level) >= level * (F.size(a) + F.size(b))).otherwise(False)
 
-    def lead(held: Column, c: Column) -> Column:
-        return F.when(F.exists(held, lambda h: like(h["bag"], c["bag"])), held).otherwise(F.concat(held, F.array(c)))
-
-    empty = F.array().cast("array<struct<id:bigint,bag:array<bigint>>>")
-    by_id = Window.partitionBy("grp").orderBy("id")
-    while not left.isEmpty():
-        # The smallest ids of each component, as many as fit HEAD_SHINGLES, but one at least.
-        least = left.groupBy("grp", "id").agg(F.max(F.size("bag")).alias("n")).withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= some)
-        least = least.withColumn("upto", F.sum("n").over(by_id)).filter((F.col("place") == 1) | (F.col("upto") <= HEAD_SHINGLES))
-        heads = left.join(least.select("grp", "id"), ["grp", "id"]).groupBy("grp")
-        heads = heads.agg(F.array_sort(F.collect_list(F.struct("id", "bag"))).alias("heads"))
-        # A large component is compared in lots, each with a copy of the leaders.
-        lots = left.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
-        heads = heads.select("grp", F.aggregate("heads", empty, lead).alias("heads")).join(lots, "grp")
-        heads = heads.select("grp", "heads", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-        dealt = left.join(lots, "grp").select("id", "grp", "bag", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int").alias("lot"))
-        # The work is in comparing, not in bytes, so these partitions must not be merged for being small.
-        dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "grp", "lot")
-        first = F.get(F.filter("heads", lambda h: like(F.col("bag"), h["bag"])), F.lit(0))["id"]
-        judged = dealt.join(heads, ["grp", "lot"]).select("id", "grp", "bag", first.alias("leader"))
-        judged = settle(judged.select("id", "grp", "leader", F.when(F.col("leader").isNull(), F.col("bag")).alias("bag")), "near-round")
-        judged.filter("leader is not null").select("id", "leader").write.mode("append").parquet(ruled)
-        left = judged.filter("leader is null").select("id", "grp", "bag")
-        some = min(4 * some, 192)
-    if some == 2:
-        return found.select("id", F.col("grp").alias("leader")).limit(0)
-    every = spark.read.schema("id long, leader long").parquet(ruled)
-    leaders = every.filter(F.col("id") == F.col("leader")).select("id").distinct()
-    return every.filter(F.col("id") != F.col("leader")).join(leaders, "id", "left_anti").groupBy("id").agg(F.min("leader").alias("leader"))
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, probe_width: int = 3, radius: int = 8
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of the others, each is similar to one of these.
+
+    As ``verified_duplicates``, but texts that share an id are judged apart, so that only similar texts go, whatever
+    their ids. Of rows that repeat id and text, one stays. All rows without an id stay. Texts of any length are compared
+    whole; an empty table gives no rows.
+    """
+    _, gone, repeats = duplicate_rows(docs, id_col, text_col, width, similarity, probe_width, radius)
+    gone = gone.select(F.col("row.id").alias("__id"), F.col("row.probe").alias("__probe"))
+    text = docs[text_col].cast("string")
+    kept = docs.hint("merge").join(gone, (docs[id_col].cast("long") == gone["__id"]) & (F.xxhash64(text) == gone["__probe"]), "left_anti")
+    if not repeats:
+        return kept
+    named, mark = kept.filter(F.col(id_col).isNotNull()).withColumn("__probe", F.xxhash64(F.col(text_col).cast("string"))), [id_col, "__probe"]
+    return named.dropDuplicates(mark).drop("__probe").unionByName(kept.filter(F.col(id_col).isNull()))
