@@ -1,75 +1,22 @@
-"""The corpus pipeline: toxicity, near-dedup, decontamination, mixing, token files."""
+"""The five corpus stages, as ``loomgrid.llm.pipeline`` defines them; registered as the query ``pipeline``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomgrid.llm.decontaminate import drop_leaks
-from loomgrid.llm.mixing import mixed_rows
-from loomgrid.llm.queries import MIX_SEED, SOURCE_CAP, SOURCE_WEIGHTS, TOKENIZER, TOXIC_FROM, table, tokenizer_path
-from loomgrid.llm.simhash import verified_duplicates
-from loomgrid.llm.token_files import token_table
-from loomgrid.llm.toxicity import drop_toxic
-from loomgrid.scratch import settle
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier of ``labels`` rates toxic go."""
-    return drop_toxic(docs, table(spark, sf_dir, "labels"), TOXIC_FROM).select(*COLUMNS)
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose five-word shingles are 0.8 similar or more to a document that stays go.
-
-    Of repeated ids one row stays.
-    """
-    gone = settle(verified_duplicates(docs, width=5, similarity=0.8).select("id"), "near-gone")
-    kept = docs.hint("merge").join(gone, docs["doc_id"] == gone["id"], "left_anti").select(*COLUMNS)
-    ids = docs.select("doc_id").filter("doc_id is not null")
-    repeats = ids.groupBy("doc_id").count().filter("count > 1")
-    if repeats.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark item leaks go."""
-    return drop_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture takes it; one taken twice has two rows."""
-    return mixed_rows(docs, SOURCE_WEIGHTS, SOURCE_CAP, MIX_SEED).select(*COLUMNS)
-
-
-def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mixture; the result has one row a document, read back from the files."""
-    return token_table(docs, tokenizer_path(TOKENIZER)).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", toxicity_stage),
-    ("simhash near-dedup", near_dedup_stage),
-    ("benchmark decontamination", decontamination_stage),
-    ("mixing to target weights", mixing_stage),
-    ("token files", token_stage),
-]
-
-#: Trained classifiers, components and token ids are beyond SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and reread."""
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+from loomgrid.llm.pipeline import (  # noqa: F401
+    COLUMNS,
+    ORACLE_SQL,
+    STAGES,
+    decontamination_stage,
+    mixing_stage,
+    near_dedup_stage,
+    run,
+    token_stage,
+    toxicity_stage,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
