@@ -79,8 +79,8 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_rounds: int = 60) -> DataFrame:
     """``node, root`` for every node with an edge to another; ``root`` is its component's smallest.
 
-    Self-loops, repeated edges and null ends are ignored. A round takes both star steps and then joins
-    the edges of each partition by themselves; it is written to the scratch folder, and its checksums are
+    Self-loops, repeated edges and null ends are ignored. First the edges of each partition are joined by
+    themselves. A round takes both star steps; it is written to the scratch folder, and its checksums are
     measured by that write. The loop ends when a round changes nothing, in about ``log`` of the longest
     path rounds.
     """
@@ -88,7 +88,7 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     now, mark = settle(_local(ends), "links"), None
     for _ in range(max_rounds):
         now, seen = settle_measured(
-            _local(_star(_star(now, True), False)),
+            _star(_star(now, True), False),
             "stars",
             n=F.count(F.lit(1)),
             mix=F.bit_xor(F.xxhash64("u", "v")),
