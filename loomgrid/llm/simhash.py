@@ -319,8 +319,8 @@ def fingerprint_links(nodes: DataFrame, radius: int, block: int = 1024, crowd: i
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     members = index.join(hot, key).select(*key, lot("m_blocks").alias("m"), every("a_blocks").alias("a"), "fp", F.lit(False).alias("probe"))
     askers = probes.join(hot, key).select(*key, every("m_blocks").alias("m"), lot("a_blocks").alias("a"), "fp", F.lit(True).alias("probe"))
-    forest = members.unionByName(askers).groupBy("part", "value", "m", "a").applyInPandas(_forest(radius), "u long, v long")
-    return first.unionByName(links).unionByName(forest).distinct()
+    crowded = members.unionByName(askers).groupBy("part", "value", "m", "a").applyInPandas(_forest(radius), "u long, v long")
+    return known.select(F.col("fp").alias("u"), F.col("comp").alias("v")).unionByName(links).unionByName(crowded).distinct()
 
 
 def fingerprint_roots(marks: DataFrame, radius: int) -> DataFrame:
