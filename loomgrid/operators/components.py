@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.scratch import settle, settle_measured
+from loomgrid.scratch import discard, settle, settle_measured
 
 #: Edges that a task joins at once; a larger partition is joined in pieces.
 CHUNK = 1 << 20
@@ -87,13 +87,15 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
     now, mark = settle(_local(ends), "links"), None
     for _ in range(max_rounds):
+        before = now
         now, seen = settle_measured(
-            _star(_star(now, True), False),
+            _star(_star(before, True), False),
             "stars",
             n=F.count(F.lit(1)),
             mix=F.bit_xor(F.xxhash64("u", "v")),
             total=F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1_000_000_007))),
         )
+        discard(before)
         if seen == mark or not seen["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -48,7 +48,20 @@ def settle(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     (df.repartition(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``settle`` returned, once all that reads them is settled itself."""
+    for table in tables:
+        _delete(table.sparkSession, table.scratch_path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
@@ -63,6 +76,4 @@ def settle_measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataF
 
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch folder; results not yet read are lost."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
