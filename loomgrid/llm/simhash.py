@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.batches import text_batches
 from loomgrid.operators.components import connected_components, forest
-from loomgrid.scratch import settle, settle_measured
+from loomgrid.scratch import discard, settle, settle_measured
 
 BITS = 64
 SEED = 42
@@ -556,6 +556,7 @@ def duplicate_rows(
     posted = settle(posted.join(live, "h"), "near-postings")
     links = sharing_pairs(posted, bags, level, within=False).select(F.col("a_grp").alias("u"), F.col("b_grp").alias("v")).distinct()
     merged = connected_components(links).withColumnRenamed("node", "grp")
+    discard(marks, posted)
     # Rows of one bag are of one group by now.
     reps = found.join(merged, "grp", "left").groupBy("bag").agg(F.min("row").alias("row"), F.min(F.coalesce("root", "grp")).alias("grp"))
     reps = settle(reps, "near-reps")
@@ -564,13 +565,15 @@ def duplicate_rows(
     wanted = reps.join(many, "grp").select("row.id", "row.probe", "grp", "bag")
     # Texts are shuffled at any size, so that a run on a sample shows what a large one costs.
     sets = shingle_sets(texts.hint("merge").join(wanted, ["id", "probe"]), width)
-    left = settle(sets.dropDuplicates(["id", "probe"]) if seen["n"] > distinct["n"] else sets, "near-sets")
-    left = left.select(F.struct("id", "probe").alias("row"), "grp", "bag", "shingles")
+    whole = settle(sets.dropDuplicates(["id", "probe"]) if seen["n"] > distinct["n"] else sets, "near-sets")
+    left = whole.select(F.struct("id", "probe").alias("row"), "grp", "bag", "shingles")
     verdicts = []
     for some in ROUNDS:
         judged = lead_round(left, some, level)
         judged = settle(judged.select("row", "grp", "bag", "leader", F.when(F.col("leader").isNull() | (F.col("leader") == F.col("row")), F.col("shingles")).alias("shingles")), "near-round")
         verdicts.append(judged.filter("leader <> row").select("row", "leader"))
+        if len(verdicts) == 1:
+            discard(whole)
         left = judged.filter("leader is null").select("row", "grp", "bag", "shingles")
     verdicts.append(pair_leaders(left, bags, level))
     ruled = verdicts[0]
@@ -580,6 +583,7 @@ def duplicate_rows(
     best = reps.select("bag", F.col("row").alias("rep")).join(ruled.withColumnRenamed("row", "rep"), "rep", "left")
     told = found.select("row", "bag").distinct().join(best, "bag").filter((F.col("row") != F.col("rep")) | F.col("leader").isNotNull())
     gone = settle(told.select("row", F.coalesce("leader", "rep").alias("leader")), "near-gone")
+    discard(bags)
     return found.select("row").distinct(), gone, seen["n"] > distinct["n"]
 
 
