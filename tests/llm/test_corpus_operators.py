@@ -8,8 +8,10 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import quote, unquote
 
 import public_tokenizers
 import pytest
@@ -18,7 +20,7 @@ import xxhash
 from loomgrid.llm.decontaminate import drop_leaks, leaks
 from loomgrid.llm.exact_dedup import exact_duplicates
 from loomgrid.llm.mixing import mix_sources
-from loomgrid.llm.secrets import find_secrets, secret_spans
+from loomgrid.llm.secrets import Layer, _collapsed, find_secrets, secret_spans
 from loomgrid.llm.sharding import stratified_shards
 from loomgrid.llm.simhash import allocate, fingerprint, masks, near_duplicates, verified_duplicates
 from loomgrid.llm.token_counts import TrieCounter, piece_scores, token_counts
@@ -500,3 +502,87 @@ def test_secrets_in_long_and_joined_parts():
         assert ("assign", 4, len(text)) in find_secrets(text)[1]
     text = "see " + base64.b64encode(gzip.compress(gzip.compress("é".encode() * (33 << 20) + b" " + secret, 1), 1)).decode()
     assert [k for k, _, _ in find_secrets(text)[1]] == ["assign"]
+
+
+def brute_layers(text, depth=6):
+    """Texts behind a whole text that is encoded in one known way a layer, by trying every way on the whole of it."""
+    found, work = {text}, [(text, 0)]
+    while work:
+        now, k = work.pop()
+        ways = [unquote(now)]
+        try:
+            ways.append(re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), now))
+            data = base64.b64decode(now, validate=True)
+            for way in (lambda d: d, gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress, lambda d: zlib.decompress(d, -15)):
+                try:
+                    got = way(data)
+                    ways += [got.decode("utf-16-le" if got[1:2] == b"\0" else "utf-8")]
+                except (OSError, zlib.error, lzma.LZMAError, UnicodeDecodeError, EOFError):
+                    pass
+        except ValueError:
+            pass
+        for other in ways:
+            if other not in found and k < depth:
+                found.add(other)
+                work.append((other, k + 1))
+    return found
+
+
+def test_secrets_in_random_nests():
+    """Layers put on by chance: whatever the whole text decodes to shows its secrets, and only those, at the right place."""
+    rng = random.Random(11)
+    deflate = lambda b: (c := zlib.compressobj(9, zlib.DEFLATED, -15)).compress(b) + c.flush()
+    coats = [
+        lambda t: base64.b64encode(t.encode()).decode(),
+        lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        lambda t: base64.b64encode(t.encode("utf-16-le")).decode(),
+        *[lambda t, p=p: base64.b64encode(p(t.encode())).decode() for p in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, deflate)],
+    ]
+    for _ in range(150):
+        secret = rng.choice(["password=hunter2value", "token: abcdef123456", "AKIA" + "QWERTY7890" * 2, "plain prose and no more"])
+        coded = f"{rng.choice(['', 'é '])}{secret}"
+        for _ in range(rng.randint(1, 3)):
+            coded = rng.choice(coats)(coded)
+        kinds = {k for t in brute_layers(coded) for k, _, _ in brute_base(t) if k != "hex"}
+        before = rng.choice(["", "see: ", "é, "])
+        spans = [s for s in find_secrets(f"{before}{coded}, end")[1] if s[0] != "hex"]
+        assert kinds == {k for k, _, _ in spans}, (secret, coded)
+        assert all(len(before) <= a < b <= len(before) + len(coded) for _, a, b in spans)
+
+
+def test_secrets_behind_odd_encodings():
+    secret = "password=hunter2secretvalue"
+    code = lambda b: base64.b64encode(b).decode()
+    kinds = lambda t: [k for k, _, _ in find_secrets(t)[1] if k == "assign"]
+    lines = code(b"some prose " + secret.encode())
+    deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = code(deflate.compress(secret.encode()) + deflate.flush())
+    assert kinds("see " + code(b"abc\0" + secret.encode())) == ["assign"]
+    assert kinds("see " + code(secret.encode("utf-16"))) and kinds("see " + code(secret.encode("utf-16-be")))
+    assert kinds("see " + raw) == ["assign"] == kinds("https://h.example/d/" + raw)
+    assert find_secrets(f"see {lines[:24]}\r\n  {lines[24:]} end")[1] == [("assign", 18, 4 + len(lines.rstrip("=")) + 4)]
+    assert find_secrets("%FF%70assword=hunter2value")[1] == [("assign", 3, 26)]
+    assert kinds("z " + quote(gzip.compress(secret.encode()))) == ["assign"]
+    assert kinds("/data/" + code(secret.encode())) == ["assign"] == kinds("cfg_" + code(secret.encode()))
+
+
+def test_secrets_in_deep_escapes():
+    """The work on nested escapes grows with their length; the decoded text is that of layer after layer."""
+    for n in (5, 40, 3000):
+        for text in ("%" + "25" * n + "70assword=hunter2value", "%5cu0025" + "5cu0025" * n + "70assword=hunter2value", "\\u005c" + "u005c" * n + "u0070assword=hunter2value"):
+            began = time.process_time()
+            assert ("assign", 0, len(text)) in find_secrets(text)[1]
+            assert time.process_time() - began < 1
+    for text in ("%E2%82%AC" * 3, "%2545", "%25E2%2582%25AC x", r"\ud83d\ude00 \ud83d x", "%C3x%A9%C3%A9", r"\u{1F600}%zz\x41", "a%b%" * 9):
+        layer = text
+        while True:
+            step = re.sub(r"\\u\{([0-9A-F]+)\}|\\x([0-9a-f]{2})", lambda m: chr(int(m[1] or m[2], 16)), layer)
+            step = re.sub(r"(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"), step)
+            step = re.sub("[\udc80-\udcff]", lambda m: f"%{ord(m[0]) - 0xDC00:02X}", step)
+            step = step.replace(r"\ud83d\ude00", "😀")
+            if step == layer:
+                break
+            layer = step
+        found = _collapsed(Layer(text))
+        assert found.text == layer and len(found.first) == len(found.last) == len(layer)
