@@ -9,8 +9,10 @@ more to it. DataFrame operations only, in three steps:
    item's ``marks``, so many of its rarest shingles that a leak cannot miss all, has no leak; the
    others keep their shingle hashes in a scratch table, so that texts are read once and never
    shuffled. There, only starts at which enough hits follow within an item's size are kept.
-2. SimHash. The windows' fingerprints are looked up among the items of the same size by a
-   multi-index: 64 bits are cut into ``radius + 1`` blocks, and fingerprints within ``radius`` agree in one.
+2. SimHash. The windows' fingerprints are looked up among all items of the same size by a multi-index of six
+   blocks with thresholds of two or three bits at the default radius: fingerprints within ``radius`` are within the
+   threshold of some block (generalised pigeonhole). An item is filed under all values near its own, a window
+   asks for its own value of each block. The candidates come from there alone.
 3. Verification of every candidate by its exact similarity.
 
 Words are lower-cased runs of letters and digits.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from loomgrid.scratch import settle
 
 BITS = 64
+#: Blocks of a fingerprint. With more of them, more pairs agree by chance; with fewer, an item has more values near its own.
+BLOCKS = 6
 #: Up to so many marks are a constant of the scan; more are joined with the documents' shingles.
 MAX_MARKS = 20_000
 
@@ -69,11 +73,28 @@ def tagged(hashes: Column) -> Column:
     return let(F.array_sort(hashes), lambda s: F.transform(s, lambda h, i: F.xxhash64(h, (i + 1 - F.array_position(s, h)).cast("long"))))
 
 
-def blocks(fp: Column, radius: int) -> Column:
-    """``(block, value)`` for ``radius + 1`` blocks of the fingerprint's bits."""
-    edges = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    cut = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(edges, edges[1:])]
-    return F.array(*[F.struct(F.lit(k).alias("block"), v.alias("value")) for k, v in enumerate(cut)])
+def cuts(radius: int) -> list[tuple[int, int, int]]:
+    """``(first bit, width, threshold)`` of each block.
+
+    The thresholds sum to ``radius - BLOCKS + 1``: fingerprints that differ by more than its threshold in every
+    block differ by more than ``radius``. Wider blocks get the larger ones; below 0 a block is not looked at.
+    """
+    edges = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
+    spread = radius - BLOCKS + 1
+    order = sorted(range(BLOCKS), key=lambda k: (edges[k] - edges[k + 1], k))
+    least, extra = divmod(spread, BLOCKS)
+    return [(edges[k], edges[k + 1] - edges[k], least + (order.index(k) < extra)) for k in range(BLOCKS)]
+
+
+def blocks(fp: Column, radius: int, near: bool) -> Column:
+    """``(block, value)`` for each block of the fingerprint; with ``near``, all values within the block's threshold."""
+    def filed(k: int, first: int, width: int, t: int) -> Column:
+        value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        masks = [m for m in range(1 << width) if m.bit_count() <= t] if near else [0]
+        listed = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
+        return F.transform(listed, lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
+
+    return F.concat(*[filed(k, *c) for k, c in enumerate(cuts(radius)) if c[2] >= 0])
 
 
 def item_table(items: DataFrame, width: int, item_col: str, text_col: str) -> DataFrame:
@@ -143,7 +164,7 @@ def leaks(
     ``probe`` is a hash of the text; ``(id, probe)`` names a row of ``docs``. A document shorter than the
     item is a single window. Items with fewer than ``width`` words are one shingle, found only whole.
     Null and empty texts match nothing, on either side; null ids are kept as they are; repeated
-    rows give one result. Empty tables give no rows; other columns are ignored.
+    rows give one result. Texts of any length are read whole. Empty tables give no rows; other columns are ignored.
 
     At the limit of similarity, fingerprints of 64 bits differ by about 10 bits with a deviation of 3,
     so the default ``radius`` misses about one in ten thousand such windows, and fewer above it.
@@ -190,8 +211,8 @@ def leaks(
 
     marks = known.select("item", "item_id", "k", "n_words", "bag", simhash(F.col("bag")).alias("item_fp"))
     marks = settle(marks, "item-fingerprints", files=8)
-    asked = windows.select("id", "probe", "k", "n_words", "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("*", "b.*").drop("b")
-    index = marks.select("item", "k", "n_words", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b")).select("*", "b.*").drop("b")
+    asked = windows.select("id", "probe", "k", "n_words", "start", "fp", F.explode(blocks(F.col("fp"), radius, near=False)).alias("b")).select("*", "b.*").drop("b")
+    index = marks.select("item", "k", "n_words", "item_fp", F.explode(blocks(F.col("item_fp"), radius, near=True)).alias("b")).select("*", "b.*").drop("b")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
     candidates = asked.join(index, ["k", "n_words", "block", "value"]).filter(close).select("id", "probe", "k", "n_words", "start", "item").distinct()
 
@@ -219,7 +240,8 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with all their columns.
 
-    Only documents with a mark of an item are joined with the leaks; the others are passed on.
+    Null and empty texts stay, repeated rows share their fate, rows without an id are judged like others, and
+    an empty table of either kind drops nothing. Only documents with a mark of an item are joined with the leaks; the others are passed on.
     """
     found = leaks(docs, items, width, similarity, radius, id_col, text_col, item_col, item_text_col)
     found = settle(found.select(F.col("id").alias("__id"), F.col("probe").alias("__probe")).distinct(), "leaks")

@@ -17,7 +17,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from loomgrid.llm.decontaminate import drop_leaks, leaks
+from loomgrid.llm.decontaminate import cuts, drop_leaks, leaks
 from loomgrid.llm.exact_dedup import exact_duplicates
 from loomgrid.llm.mixing import mix_sources
 from loomgrid.llm.secrets import Layer, _collapsed, find_secrets, secret_spans
@@ -586,3 +586,15 @@ def test_secrets_in_deep_escapes():
             layer = step
         found = _collapsed(Layer(text))
         assert found.text == layer and len(found.first) == len(found.last) == len(layer)
+
+
+def test_blocks_guarantee_the_radius():
+    """Fingerprints within the radius are within the threshold of some block, for any spread of the differing bits."""
+    rng = random.Random(6)
+    for radius in (0, 3, 5, 6, 21, 40):
+        found = cuts(radius)
+        assert [a + w for a, w, _ in found] == [a for a, _, _ in found[1:]] + [64] and found[0][0] == 0
+        assert sum(max(t, -1) + 1 for _, _, t in found) >= radius + 1
+        for _ in range(500):
+            apart = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any((apart >> a & (1 << w) - 1).bit_count() <= t for a, w, t in found)
