@@ -1,11 +1,13 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other texts are unlabelled, a share ``prior`` of them
-toxic. Linear classifiers on word and word-prefix features are trained in numpy with the
-class-prior-corrected risk ``R_p+ + max(0, R_u- - R_p-)`` under logistic loss (Kiryo et al., 2017), each
-without another part of the sample. Their mean margin, through a logistic function, is the score;
-slope and intercept of that function are fitted to the margins that labelled texts of the sample
-get from the classifiers that have not seen them.
+Confirmed toxic texts are the positives; a draw from all texts is unlabelled, a share ``prior`` of it
+toxic. Confirmed negatives are not used. Linear classifiers on word and word-prefix features are trained
+in numpy with the class-prior-corrected risk ``R_p+ + max(0, R_u- - R_p-)`` under logistic loss (Kiryo et
+al., 2017), each without another part of the sample. Their mean margin, through a logistic function, is
+the score. The prior is estimated from positives and unlabelled texts (best bin estimation: the least
+ratio of their shares among the texts that a classifier ranks highest), and so are slope and intercept of
+the logistic function (the unlabelled texts' mean score is the prior, at the least non-negative risk), all on
+margins that come from the classifiers that have not seen the text.
 
 The fit uses at most ``max_positive`` and ``max_unlabelled`` texts, picked by a hash of the id. Scoring
 reads every whole text.
@@ -80,26 +82,33 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train_nnpu(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of one linear classifier under the non-negative PU risk (full batch, Adam)."""
+def train_linear(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float | None, steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias of one linear classifier (full batch, Adam).
+
+    Under the non-negative PU risk for ``prior``; without one, of positives against unlabelled texts, both
+    sides weighing the same.
+    """
     lengths = np.array([len(r) for r in rows])
     indices = np.array([f for r in rows for f in r], dtype=np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
     p, u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
     theta = np.zeros(n_features + 1)
-    theta[-1] = np.log(prior / (1 - prior))
+    theta[-1] = np.log(prior / (1 - prior)) if prior else 0.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         margin = np.bincount(owner, weights=theta[indices], minlength=len(rows)) + theta[-1]
         chance = sigmoid(margin)
-        as_negative = np.logaddexp(0, margin)
-        risk_u = as_negative[~positive].sum() / u
-        risk_p = prior * as_negative[positive].sum() / p
-        slope = np.where(positive, -prior * chance / p, chance / u)
-        if risk_u - risk_p < 0:
-            slope = -slope
+        if prior is None:
+            slope = np.where(positive, (chance - 1) / p, chance / u)
         else:
-            slope = slope + np.where(positive, prior * (chance - 1) / p, 0.0)
+            as_negative = np.logaddexp(0, margin)
+            risk_u = as_negative[~positive].sum() / u
+            risk_p = prior * as_negative[positive].sum() / p
+            slope = np.where(positive, -prior * chance / p, chance / u)
+            if risk_u - risk_p < 0:
+                slope = -slope
+            else:
+                slope = slope + np.where(positive, prior * (chance - 1) / p, 0.0)
         gradient = np.append(np.bincount(indices, weights=slope[owner], minlength=n_features), slope.sum())
         gradient[:-1] += decay * theta[:-1]
         first = 0.9 * first + 0.1 * gradient
@@ -108,42 +117,55 @@ def train_nnpu(rows: list[list[int]], positive: np.ndarray, n_features: int, pri
     return theta[:-1], float(theta[-1])
 
 
-def calibrate(margin: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic function of ``margin`` (Platt's targets, Newton steps)."""
-    n1, n0 = label.sum(), (~label).sum()
-    target = np.where(label, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.column_stack([margin, np.ones(len(margin))])
-    theta = np.array([1.0, 0.0])
-    for _ in range(steps):
-        p = sigmoid(x @ theta)
-        slope = x.T @ (weight * (p - target)) + 1e-3 * np.array([theta[0] - 1, theta[1]]) / len(x)
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(curve, slope)
-        theta -= step / max(1.0, float(np.abs(step).max()))
-    return float(max(theta[0], 0.05)), float(theta[1])
-
-
-def train_ensemble(rows: list[list[int]], positive: np.ndarray, known: np.ndarray, n_features: int, prior: float, classifiers: int) -> tuple[np.ndarray, float]:
-    """Mean of classifiers that each leave out a part of all rows, calibrated on the parts left out.
-
-    ``known`` marks unlabelled rows that are confirmed not to be positive; they take part in the
-    calibration only as such.
-    """
-    part = np.arange(len(rows)) % classifiers
+def train_ensemble(rows: list[list[int]], part: np.ndarray, positive: np.ndarray, n_features: int, prior: float | None) -> tuple[np.ndarray, float, np.ndarray]:
+    """Mean of classifiers that each leave out a ``part`` of all rows, and each row's margin from the one that left it out."""
+    classifiers = int(part.max()) + 1
     theta, bias, outside = np.zeros(n_features), 0.0, np.zeros(len(rows))
     for k in range(classifiers):
         use = np.flatnonzero((part != k) | (classifiers == 1))
-        w, b = train_nnpu([rows[i] for i in use], positive[use], n_features, prior)
+        w, b = train_linear([rows[i] for i in use], positive[use], n_features, prior)
         theta += w / classifiers
         bias += b / classifiers
         for i in np.flatnonzero(part == k):
             outside[i] = b + w[rows[i]].sum()
-    some = positive | known
-    if not known.any():
-        return theta, bias
-    weight = np.where(positive, prior / positive.sum(), (1 - prior) / known.sum())[some]
-    a, b = calibrate(outside[some], positive[some], weight)
-    return a * theta, a * bias + b
+    return theta, bias, outside
+
+
+def class_prior(margin: np.ndarray, positive: np.ndarray, chance: float = 0.1) -> float:
+    """Share of positives among the unlabelled, by best bin estimation (Garg et al., 2021).
+
+    Whatever the margin, at least ``prior`` times the positives' share above it are positives among the
+    unlabelled share above it; the bin is the one whose ratio has the least upper bound of confidence.
+    """
+    p, u = np.sort(margin[positive]), np.sort(margin[~positive])
+    cuts = np.unique(p)
+    share_p = 1 - np.searchsorted(p, cuts, "left") / len(p)
+    share_u = 1 - np.searchsorted(u, cuts, "left") / len(u)
+    spread = np.sqrt(np.log(4 / chance) / 2 / len(u)) + np.sqrt(np.log(4 / chance) / 2 / len(p))
+    best = int(np.argmin(share_u / share_p + spread / share_p))
+    return float(min(0.95, max(0.001, share_u[best] / share_p[best])))
+
+
+#: Slopes that the calibration chooses from.
+SLOPES = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
+
+
+def calibrate(margin: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and intercept of a logistic function of the margins.
+
+    For a slope, the intercept makes the unlabelled texts' mean chance the prior, where the unbiased PU risk
+    under logistic loss is least; of the slopes, the one with the least non-negative risk is taken.
+    """
+    best: list[tuple[float, float, float]] = []
+    for slope in SLOPES:
+        p, u, low, high = slope * margin[positive], slope * margin[~positive], -200.0, 200.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (low, middle) if sigmoid(u + middle).mean() > prior else (middle, high)
+        p, u = p + low, u + low
+        risk = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+        best.append((prior * np.logaddexp(0, -p).mean() + max(0.0, float(risk)), slope, low))
+    return min(best)[1:]
 
 
 def held_out(id_column: Column) -> Column:
@@ -162,26 +184,23 @@ def fit(
     max_features: int = 4_096,
     classifiers: int = 3,
 ) -> Model:
-    """Train on texts whose ids are not held out. Without confirmed positives every score is near 0."""
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    known = known.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
-    by_id = known.groupBy("id").agg(F.max("label").alias("label"))
-    n, toxic = by_id.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).head()
-    if not toxic:
-        return Model()
-    prior = min(0.95, max(0.001, toxic / n))
+    """Train on positives and unlabelled texts whose ids are not held out.
 
+    Without confirmed positives every score is near 0. Texts that share an id count each, as positives
+    if the id is labelled toxic.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    toxic = known.filter(F.col("id").isNotNull() & (F.col("label") == 1) & ~held_out(F.col("id"))).select("id").distinct()
     draw = F.xxhash64(F.col("id"), F.lit(7))
-    chosen = by_id.filter("label = 1").orderBy(draw, "id").limit(max_positive).select("id", F.lit(True).alias("positive"), F.lit(False).alias("known"))
+    chosen = toxic.orderBy(draw, "id").limit(max_positive).select("id", F.lit(True).alias("positive"))
     ids = docs.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    others = ids.orderBy(draw, "id").limit(max_unlabelled).join(by_id, "id", "left")
-    others = others.select("id", F.lit(False).alias("positive"), F.coalesce(F.col("label") == 0, F.lit(False)).alias("known"))
+    others = ids.orderBy(draw, "id").limit(max_unlabelled).select("id", F.lit(False).alias("positive"))
     sample = settle(chosen.unionByName(others).distinct(), "toxicity-sample", files=1)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # The sample has at most max_positive + max_unlabelled rows.
-    picked = texts.join(F.broadcast(sample), "id").select("id", "positive", "known", "text")
-    schema = pa.schema([("id", pa.int64()), ("positive", pa.bool_()), ("known", pa.bool_()), ("features", pa.list_(pa.int32()))])
+    picked = texts.join(F.broadcast(sample), "id").select("id", "positive", F.xxhash64("text").alias("probe"), "text")
+    schema = pa.schema([("id", pa.int64()), ("positive", pa.bool_()), ("probe", pa.int64()), ("features", pa.list_(pa.int32()))])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Featurizer()
@@ -191,29 +210,40 @@ def fit(
                 rows = [np.array(sorted(of(t.as_py())), dtype=np.int32) for t in batch.column(3)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.int32()))], schema=schema)
 
-    picked = settle(picked.mapInArrow(features, "id long, positive boolean, known boolean, features array<int>"), "toxicity-features")
+    picked = settle(picked.mapInArrow(features, "id long, positive boolean, probe long, features array<int>"), "toxicity-features")
     n_pos, n_unl = picked.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).head()
     if not n_pos or not n_unl:
         return Model()
     counts = picked.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
-    # Features of at least MIN_DOCS positives whose positive-unlabelled estimate of the posterior,
-    # prior * P(feature | positive) / P(feature), is MIN_POSTERIOR or more and whose excess among the
-    # positives is MIN_STRENGTH deviations or more; a few for each positive.
-    rate_p, rate_u = F.col("p") / n_pos, F.col("u") / n_unl
-    spread = (F.col("u") + 1) / (n_unl + 1)
+    # Features of at least MIN_DOCS positives whose excess among the positives is MIN_STRENGTH deviations
+    # or more; a few for each positive.
+    rate_p, spread = F.col("p") / n_pos, (F.col("u") + 1) / (n_unl + 1)
     strength = (rate_p - spread) / F.sqrt(spread * (1 - spread) / n_pos + 1e-9)
-    likely = (F.col("p") >= MIN_DOCS) & (prior * rate_p >= MIN_POSTERIOR * rate_u) & (strength >= MIN_STRENGTH)
+    likely = (F.col("p") >= MIN_DOCS) & (strength >= MIN_STRENGTH)
     most = min(max_features, max(300, 3 * n_pos))
-    top = counts.filter(likely).orderBy(strength.desc(), "f").limit(most).select("f")
-    order = {r["f"]: i for i, r in enumerate(top.collect())}
+    found = counts.filter(likely).orderBy(strength.desc(), "f").limit(most).collect()
+    order = {r["f"]: i for i, r in enumerate(found)}
     if not order:
         return Model()
     top = spark_table(picked, order)
     kept = picked.withColumn("f", F.explode_outer("features")).join(F.broadcast(top), "f", "left")
-    sparse = kept.groupBy("id", "positive", "known").agg(F.array_sort(F.collect_set("slot")).alias("slots")).orderBy("id", "positive").collect()
-    positive, known_not = (np.array([r[c] for r in sparse]) for c in ("positive", "known"))
-    theta, bias = train_ensemble([r["slots"] for r in sparse], positive, known_not, len(order), prior, classifiers)
-    return Model(bias, {f: float(theta[i]) for f, i in order.items() if theta[i]})
+    sparse = kept.groupBy("id", "positive", "probe").agg(F.array_sort(F.collect_set("slot")).alias("slots")).orderBy("id", "positive", "probe").collect()
+    rows, positive = [r["slots"] for r in sparse], np.array([r["positive"] for r in sparse])
+    # A positive text may be drawn as an unlabelled one too; both are left out together.
+    part = np.unique([r["id"] for r in sparse], return_inverse=True)[1] % classifiers
+    *_, outside = train_ensemble(rows, part, positive, len(order), None)
+    prior = class_prior(outside, positive)
+
+    # Of these, the classifiers proper use those whose estimated posterior, prior * P(feature | positive) /
+    # P(feature), is MIN_POSTERIOR or more.
+    good = [i for i, r in enumerate(found) if prior * r["p"] / n_pos >= MIN_POSTERIOR * r["u"] / n_unl]
+    place = {i: k for k, i in enumerate(good)}
+    if not good:
+        return Model()
+    rows = [[place[i] for i in r if i in place] for r in rows]
+    theta, bias, outside = train_ensemble(rows, part, positive, len(good), prior)
+    slope, more = calibrate(outside, positive, prior)
+    return Model(slope * bias + more, {found[i]["f"]: slope * float(theta[k]) for i, k in place.items() if theta[k]})
 
 
 def spark_table(like: DataFrame, order: dict[int, int]) -> DataFrame:

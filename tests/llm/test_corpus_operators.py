@@ -13,6 +13,7 @@ import zlib
 from collections import Counter, defaultdict
 from urllib.parse import quote, unquote
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -25,7 +26,7 @@ from loomgrid.llm.sharding import stratified_shards
 from loomgrid.llm.simhash import allocate, fingerprint, masks, near_duplicates, verified_duplicates
 from loomgrid.llm.token_counts import TrieCounter, piece_scores, token_counts
 from loomgrid.llm.token_files import token_table
-from loomgrid.llm.toxicity import drop_toxic, toxicity
+from loomgrid.llm.toxicity import SLOPES, calibrate, class_prior, drop_toxic, toxicity, train_linear
 from loomgrid.llm.url_filter import judge_urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, size string, h string, part string, u string, grp string"
@@ -598,3 +599,44 @@ def test_blocks_guarantee_the_radius():
         for _ in range(500):
             apart = sum(1 << b for b in rng.sample(range(64), radius))
             assert any((apart >> a & (1 << w) - 1).bit_count() <= t for a, w, t in found)
+
+
+def test_toxicity_learns_from_positives_and_unlabelled_only(spark):
+    """Confirmed negatives change nothing; prior, calibration and the classifier's gradient are held against plain versions."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*rng.choices(words, k=20), *(["vile"] if i % 6 == 0 else [])]), "s") for i in range(800)]
+    marks = [(i, int(i % 6 == 0)) for i in range(0, 800, 2)]
+    score = lambda m: {r["id"]: r["score"] for r in toxicity(frame(spark, rows), spark.createDataFrame(m, "doc_id long, toxic int")).collect()}
+    assert score(marks) == score([m for m in marks if m[1]])
+
+    make = np.random.default_rng(5)
+    margin = np.concatenate([make.normal(4, 1, 400), make.normal(4, 1, 300), make.normal(-4, 1, 1700)])
+    positive = np.arange(len(margin)) < 400
+    prior = class_prior(margin, positive)
+    assert 0.14 < prior < 0.19
+    slope, more = calibrate(margin, positive, 0.15)
+    chance = lambda a, b, x: 1 / (1 + np.exp(-(a * x + b)))
+    assert chance(slope, more, margin[~positive]).mean() == pytest.approx(0.15, abs=1e-6)
+
+    def risk(a, b):
+        p, u = chance(a, b, margin[positive]), chance(a, b, margin[~positive])
+        return -0.15 * np.log(p).mean() + max(0.0, -np.log(1 - u + 1e-300).mean() + 0.15 * np.log(1 - p + 1e-300).mean())
+
+    for a in SLOPES:
+        least = min(np.linspace(-30, 30, 6001), key=lambda b: abs(chance(a, b, margin[~positive]).mean() - 0.15))
+        assert risk(slope, more) <= risk(a, least) + 1e-3
+
+    # One step of the classifier goes down the slope of the non-negative risk, found by differences.
+    bags, labels, pi = [[0], [0, 1], [1], [2], [], [1, 2]], np.array([True, True, False, False, False, False]), 0.3
+
+    def pu(theta):
+        m = np.array([theta[b].sum() + theta[-1] for b in bags])
+        plus, minus = np.log1p(np.exp(-m)), np.log1p(np.exp(m))
+        rest = minus[~labels].mean() - pi * minus[labels].mean()
+        return pi * plus[labels].mean() + rest if rest >= 0 else -rest
+
+    start = np.array([0.0, 0.0, 0.0, np.log(pi / (1 - pi))])
+    steps = np.array([(pu(start + e) - pu(start - e)) / 2e-6 for e in 1e-6 * np.eye(4)])
+    w, b = train_linear(bags, labels, 3, pi, steps=1, rate=1.0, decay=0.0)
+    assert np.append(w, b) == pytest.approx(start - np.sign(steps), abs=1e-3)
