@@ -150,6 +150,28 @@ from documents window same as (partition by coalesce(text, ''))
 """
 
 
+#: DuckDB has no checksum of this kind; its 256 constants come from the polynomial, eight steps each.
+OP9_SQL = f"""
+with constants as materialized (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k:
+         case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as of_byte
+), ranked as (
+  select doc_id, coalesce(text, '') as t, coalesce('=' || source, 'null') as stratum, count(*) over (partition by source) as members,
+         row_number() over (partition by source order by md5('17:' || cast(doc_id as varchar)), doc_id) as rank
+  from documents
+), placed as (
+  select doc_id, t, row_number() over (order by (2 * rank - 1) / (2 * members), stratum) - 1 as place, count(*) over () as n from ranked
+), dealt as (
+  select *, place * {SHARDS} // n as shard from placed
+)
+select doc_id, cast(strlen(t) + 8 as bigint) as size,
+       cast(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(t), '..'), lambda b: cast('0x' || b as bigint))),
+            lambda c, b: xor(c >> 8, of_byte[(xor(c, b) & 255) + 1]))) as bigint) as text_crc32,
+       'rows' as law, cast(shard as integer) as shard, cast(place - (shard * n + {SHARDS - 1}) // {SHARDS} as bigint) as slot, cast(null as integer) as grown_shard
+from dealt, constants
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -166,4 +188,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op9_sharding": OP9_SQL}

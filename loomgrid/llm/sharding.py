@@ -29,14 +29,15 @@ def stratified_shards(
 
     Returns ``id, source, size, text_crc32, shard, slot``; ``slot`` runs from 0 without gaps in each
     shard. ``size`` is the text's UTF-8 bytes plus ``overhead``; a null text has no bytes and the
-    checksum of an empty one. A null source is a source of its own. Ties of the shuffle, which
-    only repeated or null ids have, are broken by row position. An empty table gives no rows, and
+    checksum of an empty one. A null source is a source of its own. A row without an
+    id is drawn by its text. Ties of the shuffle, which only repeated ids and texts have, are broken by the text's
+    checksum and size, and for like rows by position. Texts of any length are read whole. An empty table gives no rows, and
     fewer rows than shards leave shards empty; other columns are ignored.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id()))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(text)))
     rows = settle(
         docs.select(
             F.col(id_col).alias("id"),
@@ -64,7 +65,7 @@ def stratified_shards(
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"),
         F.sum("n").over(whole).alias("members"),
     )
-    in_bucket = Window.partitionBy("stratum", "bucket").orderBy("draw", "id", "row")
+    in_bucket = Window.partitionBy("stratum", "bucket").orderBy("draw", "id", "text_crc32", "size", "row")
     ranked = dealt.join(counts, ["stratum", "bucket"]).withColumn("rank", F.col("ahead") + F.row_number().over(in_bucket))
     share = (2 * F.col("rank") - 1) / (2 * F.col("members"))
     ranked = settle(

@@ -6,15 +6,19 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from test_corpus_operators import brute_bag, brute_base, brute_fingerprint, brute_leaks, brute_targets, components
 
 import corpus_pipeline
 from loomgrid.llm import queries as Q
 from loomgrid.llm.token_counts import piece_scores
+from loomgrid.llm.url_filter import judge_urls, labelled_by_rules
 
 
 @pytest.fixture(scope="module")
@@ -252,3 +256,48 @@ def test_pipeline_runs_whole(spark, corpus):
     folder = corpus[0]
     assert corpus_pipeline.run(spark, folder).count() > 500
     assert list(Q.queries()) and corpus_pipeline.queries().keys() == {"pipeline"}
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_sql(spark, sf_dir, name):
+    """The query returns what its SQL does."""
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf_dir}/documents.parquet')")
+    want = con.execute(Q.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = Q.queries()[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    rows = [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in want.fetchall()]
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(rows)
+
+
+def test_op4_scores(spark, sf_dir):
+    """Scores of the model against a plain one in numpy, and accuracy on URLs that rules decide but that were not learned from."""
+    slots, steps, rate, decay = 4096, 30, 4.0, 1e-4
+    pages = Q.table(spark, sf_dir.replace("sf0.001", "sf0.01"), "pages")
+    judged = judge_urls(pages, Q.URL_RULES, max_labelled=60).collect()
+
+    def grams(host, path):
+        line = f"^{host}|{path}$"
+        # The number of slots divides 2 ** 64, so the hash's sign does not matter.
+        return sorted({xxhash.xxh64_intdigest(line[i : i + n].encode(), 42) % slots for n in (3, 4) for i in range(len(line) - n + 1)})
+
+    learned = [r.asDict() for r in labelled_by_rules(pages, Q.URL_RULES, 60).collect()]
+    assert len(learned) == 60
+    rows, y = [grams(r["host"], r["path"]) for r in learned], np.array([float(r["block"]) for r in learned])
+    x = np.zeros((len(rows), slots))
+    for i, row in enumerate(rows):
+        x[i, row] = 1 / np.sqrt(max(1, len(row)))
+    w, v, b, bv = np.zeros(slots), np.zeros(slots), np.log(y.sum() / (len(y) - y.sum())), 0.0
+    for _ in range(steps):
+        miss = 1 / (1 + np.exp(-(x @ (w + 0.9 * v) + b + 0.9 * bv))) - y
+        bv = 0.9 * bv - 0.2 * miss.mean()
+        b += bv
+        v = 0.9 * v - rate * (x.T @ miss / len(y) + decay * w)
+        w = w + v
+    for r in judged:
+        row = grams(r["host"], r["path"])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(w[row].sum() / np.sqrt(max(1, len(row))) + b))), abs=1e-9)
+    seen = {(r["host"], r["path"]) for r in learned}
+    unseen = [r for r in judged if r["rule"] and (r["host"], r["path"]) not in seen]
+    assert unseen and sum((r["score"] >= 0.5) == (r["verdict"] == "block") for r in unseen) / len(unseen) > 0.9
