@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.llm.decontaminate import leaks
 from loomgrid.llm.exact_dedup import exact_duplicates
+from loomgrid.llm.labelled_urls import labelled_urls
 from loomgrid.llm.mixing import mix_sources
 from loomgrid.llm.secrets import secret_spans
 from loomgrid.llm.sharding import stratified_shards
@@ -66,7 +67,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES, labelled_urls(spark))
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
 
 

@@ -17,6 +17,7 @@ from test_corpus_operators import brute_bag, brute_base, brute_fingerprint, brut
 
 import corpus_pipeline
 from loomgrid.llm import queries as Q
+from loomgrid.llm.labelled_urls import labelled_urls
 from loomgrid.llm.token_counts import piece_scores
 from loomgrid.llm.url_filter import judge_urls, labelled_by_rules
 
@@ -301,3 +302,15 @@ def test_op4_scores(spark, sf_dir):
     seen = {(r["host"], r["path"]) for r in learned}
     unseen = [r for r in judged if r["rule"] and (r["host"], r["path"]) not in seen]
     assert unseen and sum((r["score"] >= 0.5) == (r["verdict"] == "block") for r in unseen) / len(unseen) > 0.9
+
+
+def test_labelled_urls(spark):
+    """The labelled table teaches the model sites like those in it and leaves ordinary ones alone."""
+    known = labelled_urls(spark)
+    assert known.count() == 100 and known.filter("block").count() == 40
+    bad = ["pills-market", "night-casino", "sexy-videos", "bets-today", "spam-posts", "casino-slots", "adult-movies", "torrents-free"]
+    good = ["oldlibrary", "mountains", "kitchen", "theatres", "stationary", "gardening", "villages", "seminars"]
+    urls = [(i, f"https://{name}.example.org/en/{i}") for i, name in enumerate(bad + good)]
+    judged = {r["id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(urls, "page_id long, url string"), Q.URL_RULES, known).collect()}
+    assert sum(judged[i] == "block" for i in range(len(bad))) >= 7
+    assert sum(judged[i] == "allow" for i in range(len(bad), len(urls))) >= 7
