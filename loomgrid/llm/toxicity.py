@@ -36,6 +36,7 @@ MEMO = 100_000
 #: Rows whose features a worker holds at once.
 SLICE = 256
 MIN_DOCS = 3
+MIN_RATIO = 2.0
 MIN_POSTERIOR = 0.3
 MIN_STRENGTH = 4.0
 
@@ -82,21 +83,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train_linear(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float | None, steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of one linear classifier (full batch, Adam).
+def train_linear(
+    owner: np.ndarray, slots: np.ndarray, positive: np.ndarray, n_features: int, prior: float | None, steps: int = 150, rate: float = 0.15, decay: float = 1e-3
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of one linear classifier (full batch, Adam); row ``owner[k]`` has feature ``slots[k]``.
 
     Under the non-negative PU risk for ``prior``; without one, of positives against unlabelled texts, both
     sides weighing the same.
     """
-    lengths = np.array([len(r) for r in rows])
-    indices = np.array([f for r in rows for f in r], dtype=np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    n = len(positive)
     p, u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
     theta = np.zeros(n_features + 1)
     theta[-1] = np.log(prior / (1 - prior)) if prior else 0.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        margin = np.bincount(owner, weights=theta[indices], minlength=len(rows)) + theta[-1]
+        margin = np.bincount(owner, weights=theta[slots], minlength=n) + theta[-1]
         chance = sigmoid(margin)
         if prior is None:
             slope = np.where(positive, (chance - 1) / p, chance / u)
@@ -109,7 +110,7 @@ def train_linear(rows: list[list[int]], positive: np.ndarray, n_features: int, p
                 slope = -slope
             else:
                 slope = slope + np.where(positive, prior * (chance - 1) / p, 0.0)
-        gradient = np.append(np.bincount(indices, weights=slope[owner], minlength=n_features), slope.sum())
+        gradient = np.append(np.bincount(slots, weights=slope[owner], minlength=n_features), slope.sum())
         gradient[:-1] += decay * theta[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -117,17 +118,17 @@ def train_linear(rows: list[list[int]], positive: np.ndarray, n_features: int, p
     return theta[:-1], float(theta[-1])
 
 
-def train_ensemble(rows: list[list[int]], part: np.ndarray, positive: np.ndarray, n_features: int, prior: float | None) -> tuple[np.ndarray, float, np.ndarray]:
+def train_ensemble(owner: np.ndarray, slots: np.ndarray, part: np.ndarray, positive: np.ndarray, n_features: int, prior: float | None) -> tuple[np.ndarray, float, np.ndarray]:
     """Mean of classifiers that each leave out a ``part`` of all rows, and each row's margin from the one that left it out."""
     classifiers = int(part.max()) + 1
-    theta, bias, outside = np.zeros(n_features), 0.0, np.zeros(len(rows))
+    theta, bias, outside = np.zeros(n_features), 0.0, np.zeros(len(part))
     for k in range(classifiers):
-        use = np.flatnonzero((part != k) | (classifiers == 1))
-        w, b = train_linear([rows[i] for i in use], positive[use], n_features, prior)
+        use = (part != k) | (classifiers == 1)
+        held = use[owner]
+        w, b = train_linear((np.cumsum(use) - 1)[owner[held]], slots[held], positive[use], n_features, prior)
         theta += w / classifiers
         bias += b / classifiers
-        for i in np.flatnonzero(part == k):
-            outside[i] = b + w[rows[i]].sum()
+        outside[part == k] = b + np.bincount(owner, weights=w[slots], minlength=len(part))[part == k]
     return theta, bias, outside
 
 
@@ -215,35 +216,35 @@ def fit(
     if not n_pos or not n_unl:
         return Model()
     counts = picked.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
-    # Features of at least MIN_DOCS positives whose excess among the positives is MIN_STRENGTH deviations
-    # or more; a few for each positive.
-    rate_p, spread = F.col("p") / n_pos, (F.col("u") + 1) / (n_unl + 1)
+    # Features of at least MIN_DOCS positives that are MIN_RATIO times as frequent there as among the unlabelled,
+    # by MIN_STRENGTH deviations or more; a few for each positive.
+    rate_p, rate_u, spread = F.col("p") / n_pos, F.col("u") / n_unl, (F.col("u") + 1) / (n_unl + 1)
     strength = (rate_p - spread) / F.sqrt(spread * (1 - spread) / n_pos + 1e-9)
-    likely = (F.col("p") >= MIN_DOCS) & (strength >= MIN_STRENGTH)
+    likely = (F.col("p") >= MIN_DOCS) & (rate_p >= MIN_RATIO * rate_u) & (strength >= MIN_STRENGTH)
     most = min(max_features, max(300, 3 * n_pos))
     found = counts.filter(likely).orderBy(strength.desc(), "f").limit(most).collect()
-    order = {r["f"]: i for i, r in enumerate(found)}
-    if not order:
+    if not found:
         return Model()
-    top = spark_table(picked, order)
+    top = spark_table(picked, {r["f"]: i for i, r in enumerate(found)})
     kept = picked.withColumn("f", F.explode_outer("features")).join(F.broadcast(top), "f", "left")
-    sparse = kept.groupBy("id", "positive", "probe").agg(F.array_sort(F.collect_set("slot")).alias("slots")).orderBy("id", "positive", "probe").collect()
-    rows, positive = [r["slots"] for r in sparse], np.array([r["positive"] for r in sparse])
+    sparse = kept.groupBy("id", "positive", "probe").agg(F.array_sort(F.collect_set("slot")).alias("slots")).orderBy("id", "positive", "probe").toArrow()
+    positive = sparse.column("positive").to_numpy().astype(bool)
+    lists = pa.concat_arrays(sparse.column("slots").chunks)
+    owner, slots = np.repeat(np.arange(len(positive)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
     # A positive text may be drawn as an unlabelled one too; both are left out together.
-    part = np.unique([r["id"] for r in sparse], return_inverse=True)[1] % classifiers
-    *_, outside = train_ensemble(rows, part, positive, len(order), None)
+    part = np.unique(sparse.column("id").to_numpy(), return_inverse=True)[1] % classifiers
+    *_, outside = train_ensemble(owner, slots, part, positive, len(found), None)
     prior = class_prior(outside, positive)
 
     # Of these, the classifiers proper use those whose estimated posterior, prior * P(feature | positive) /
     # P(feature), is MIN_POSTERIOR or more.
-    good = [i for i, r in enumerate(found) if prior * r["p"] / n_pos >= MIN_POSTERIOR * r["u"] / n_unl]
-    place = {i: k for k, i in enumerate(good)}
-    if not good:
+    good = np.array([prior * r["p"] / n_pos >= MIN_POSTERIOR * r["u"] / n_unl for r in found])
+    if not good.any():
         return Model()
-    rows = [[place[i] for i in r if i in place] for r in rows]
-    theta, bias, outside = train_ensemble(rows, part, positive, len(good), prior)
+    held = good[slots]
+    theta, bias, outside = train_ensemble(owner[held], (np.cumsum(good) - 1)[slots[held]], part, positive, int(good.sum()), prior)
     slope, more = calibrate(outside, positive, prior)
-    return Model(slope * bias + more, {found[i]["f"]: slope * float(theta[k]) for i, k in place.items() if theta[k]})
+    return Model(slope * bias + more, {found[i]["f"]: slope * float(w) for i, w in zip(np.flatnonzero(good), theta) if w})
 
 
 def spark_table(like: DataFrame, order: dict[int, int]) -> DataFrame:

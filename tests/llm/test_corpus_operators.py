@@ -638,5 +638,6 @@ def test_toxicity_learns_from_positives_and_unlabelled_only(spark):
 
     start = np.array([0.0, 0.0, 0.0, np.log(pi / (1 - pi))])
     steps = np.array([(pu(start + e) - pu(start - e)) / 2e-6 for e in 1e-6 * np.eye(4)])
-    w, b = train_linear(bags, labels, 3, pi, steps=1, rate=1.0, decay=0.0)
+    owner, slots = (np.array(x) for x in zip(*[(i, f) for i, b in enumerate(bags) for f in b]))
+    w, b = train_linear(owner, slots, labels, 3, pi, steps=1, rate=1.0, decay=0.0)
     assert np.append(w, b) == pytest.approx(start - np.sign(steps), abs=1e-3)
