@@ -49,6 +49,20 @@ http://fast-cash-loans.test/en/2
 https://free-iphone-winner.test/claim/1
 http://miracle-diet-pills.test/fr/19
 https://bitcoin-doubler.test/en/7
+http://pills-direct.test/en/41
+https://pills4you.test/fr/3
+http://www.diet-pills.test/es/12
+https://bets-and-odds.test/en/27
+http://m.bets365x.test/de/4
+https://betting-tips.test/en/90
+http://casino-night.test/en/5
+https://www.slots-casino.test/fr/18
+http://sexy-girls.test/en/33
+https://video-sexy.test/es/2
+http://spam-posting.test/en/71
+https://mail-spam.test/de/19
+http://adult-store.test/en/8
+https://torrents-hub.test/en/55
 """
 ALLOW = """
 https://www.citylibrary.test/en/catalogue/4
@@ -111,11 +125,37 @@ https://blog.adults-learn-piano.test/en/4
 http://alphabet.test/letters
 https://www.pillars.test/greek/2
 http://m.loan-desk-library.test/en/books
+https://kitten.test/en/14
+http://www.chicken-coop.test/fr/61
+https://m.hitchhiker.test/es/20
+http://blog.kitchenware-museum.test/en/3
+https://theatre-school.test/de/73
+http://www.guardian-angels.test/en/42
+https://gardens.test/en/roses
+http://m.evening.test/fr/11
+https://blog.semantics.test/en/66
+http://www.minaret.test/es/5
+https://montane.test/en/29
+http://blog.fountains.test/de/16.html
+https://www.villa-romana.test/en/47
+http://stationer.test/en/paper
+https://m.chapter.test/fr/86
+http://www.bookbinder.test/en/58
+https://blog.winter.test/es/39
+http://singers.test/en/24
+https://www.listener.test/de/95
+http://m.chestnut.test/en/37
+https://thunder.test/fr/52
+http://blog.ringing.test/en/84
+https://www.standing-stones.test/en/6
+http://hanging-gardens.test/es/13
+https://m.wording.test/en/99
+http://www.reader.test/en/150
 """
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """``host, path, block`` of the table; a hundred rows."""
+    """``host, path, block`` of the table, 140 rows."""
     host, path = url_parts(F.col("url"))
 
     def side(listed: str, block: bool) -> DataFrame:
