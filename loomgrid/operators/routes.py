@@ -217,7 +217,8 @@ def line_graph(routes: DataFrame, nodes: DataFrame) -> DataFrame:
 def best_paths(graph: DataFrame, origins: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``origin, node, transfers, dist``: the lexicographically least transfers, then distance.
 
-    States are ``(origin, node, line)``; rounds relax the states that improved until none does.
+    States are ``(origin, node, line)``; rounds relax the states that improved until none does. If some still do after
+    ``max_rounds``, that is an error.
     """
     graph = settle(graph.select("src", "dst", "dist", "line_id"), "path-graph")
     start = origins.select(F.col("node_id").alias("origin")).join(graph.select(F.col("src").alias("origin"), "line_id").distinct(), "origin")
@@ -234,6 +235,8 @@ def best_paths(graph: DataFrame, origins: DataFrame, max_rounds: int = 200) -> D
         if fresh.isEmpty():
             break
         state = settle(state.join(fresh, ["origin", "node", "line_id"], "left_anti").unionByName(fresh), "path-state")
+    else:
+        raise RuntimeError("paths did not settle")
     best = state.groupBy("origin", "node").agg(F.min(F.struct("transfers", "dist")).alias("b"))
     return best.select("origin", "node", "b.transfers", "b.dist")
 

@@ -72,7 +72,13 @@ def delaunay_edges(spark, d):
     return G.delaunay_edges(X.places(spark, d), "place_id")
 
 
-@query()
+@query(with_tables("routes nodes steps edges","""select route_id, cast(dense_rank() over (order by root)-1 as integer) as "group" from (select r.route_id, coalesce(l.root, r.route_id) as root from (select distinct route_id from routes) r left join label l on l.node=r.route_id)""",
+more="""own as (select distinct route_id, src, dst, coalesce(weight, 1.0e0) as weight from steps left join edges using (src, dst)),
+ len as (select route_id, sum(weight) as total from own group by route_id),
+ shared as (select u.route_id as u, v.route_id as v, sum(u.weight) as part from own u join own v on u.src=v.src and u.dst=v.dst and u.route_id<v.route_id group by 1,2),
+ links as (select u, v from shared join len a on a.route_id=u join len b on b.route_id=v where (a.total<>0 and part/a.total>=0.5) or (b.total<>0 and part/b.total>=0.5)),
+ both_ways as (select u, v from links union select v, u from links),
+ label(node, root) using key (node) as (select distinct u, u from both_ways union select w.v, min(f.root) from label f join both_ways w on w.u=f.node join recurring.label o on o.node=w.v where f.root<o.root group by w.v)""",recursive=True))
 def line_groups(spark, d):
     return R.similarity_groups(X.routes(spark, d), X.edges(spark, d), 0.5)
 
@@ -89,7 +95,19 @@ def terminals_transfers(spark, d):
     return R.fixed_stations(X.routes(spark, d), _groups(spark, d))
 
 
-@query()
+@query(with_tables("routes nodes steps edges","""select node_id, arg_max(flag, route_id * 1000 + step * 500 + turn) as is_station from (
+  select route_id, 0 as step, pos as turn, node_id, flag from ahead_walk union all select route_id, 1, last - pos, node_id, flag from back_walk) group by node_id""",
+more=_GROUPS+""",
+ ends as (select *, max(pos) over (partition by route_id) as last from routes),
+ fixed as (select node_id from ends join grp using (route_id) group by node_id having max(pos=0 or pos=last) or count(distinct g)>1),
+ stops as (select e.route_id, e.pos, e.node_id, e.last, coalesce(w.weight, 0) as ahead, e.node_id in (select node_id from fixed) as fixed
+   from ends e left join steps t on t.route_id=e.route_id and t.pos=e.pos left join edges w on w.src=t.src and w.dst=t.dst),
+ ahead_walk(route_id, pos, node_id, flag, since, last) as (select route_id, pos, node_id, true, cast(0 as double), last from stops where pos=0 union all
+  select s.route_id, s.pos, s.node_id, s.fixed or w.since+p.ahead>=20000, case when s.fixed or w.since+p.ahead>=20000 then 0 else w.since+p.ahead end, s.last
+  from ahead_walk w join stops p on p.route_id=w.route_id and p.pos=w.pos join stops s on s.route_id=w.route_id and s.pos=w.pos+1),
+ back_walk(route_id, pos, node_id, flag, since, last) as (select route_id, pos, node_id, true, cast(0 as double), last from stops where pos=last union all
+  select s.route_id, s.pos, s.node_id, s.fixed or w.since+s.ahead>=20000, case when s.fixed or w.since+s.ahead>=20000 then 0 else w.since+s.ahead end, s.last
+  from back_walk w join stops s on s.route_id=w.route_id and s.pos=w.pos-1)""",recursive=True))
 def station_marks(spark, d):
     return R.mark_stations(X.routes(spark, d), _groups(spark, d), X.edges(spark, d), 20000.0)
 
@@ -272,7 +290,13 @@ def travel_time(spark, d):
     return rows.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), R.travel_minutes(F.col("l_extendedprice") / 1000, F.col("l_quantity"), F.col("l_linenumber"), F.col("l_tax") * 1000).alias("minutes"))
 
 
-@query()
+@query(with_tables("routes nodes steps","""select (select min(s) from ways) as origin, node, cast(best.t as integer) as transfers, round(best.d,6) as dist from (select node, min({'t': t, 'd': d}) as best from state group by node)""",
+more="""ways as (select distinct s, d, line_id, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)) as dist from (select a as s, b as d, route_id as line_id from steps union select b, a, route_id from steps) join nodes p on p.node_id=s join nodes q on q.node_id=d),
+ state(node, line_id, t, d) using key (node, line_id) as (
+  select distinct s, line_id, cast(0 as bigint), cast(0 as double) from ways where s=(select min(s) from ways)
+  union
+  select n.node, n.line_id, n.best.t, n.best.d from (select w.d as node, w.line_id, min({'t': cast(f.t+case when f.line_id<>w.line_id then 1 else 0 end as bigint), 'd': f.d+w.dist}) as best from state f join ways w on w.s=f.node group by w.d, w.line_id) n
+   left join recurring.state o on o.node=n.node and o.line_id=n.line_id where o.node is null or n.best.t<o.t or (n.best.t=o.t and n.best.d<o.d))""",recursive=True))
 def shortest_transfers(spark, d):
     """Best paths from the smallest node over all lines."""
     graph = R.line_graph(X.routes(spark, d), X.nodes(spark, d))
@@ -280,7 +304,12 @@ def shortest_transfers(spark, d):
     return R.best_paths(graph, origin).withColumn("dist", F.round("dist", 6))
 
 
-@query()
+@query(with_tables("routes steps","""select seg.path_id, cast(h.pos as integer) as pos, seg.line_id from seg join (select distinct route_id as path_id, pos from steps) h on h.path_id=seg.path_id and h.pos between seg.p and seg.e""",
+more="""ways as (select distinct a as s, b as d, route_id as line_id from steps union select distinct b, a, route_id from steps),
+ here as (select distinct t.route_id as path_id, t.pos, w.line_id from steps t join ways w on t.a=w.s and t.b=w.d),
+ runs as (select path_id, line_id, min(pos) as s, max(pos) as e from (select *, pos-row_number() over (partition by path_id, line_id order by pos) as island from here) group by path_id, line_id, island),
+ best as (select h.path_id, h.pos, r.line_id, r.e from here h join runs r on r.path_id=h.path_id and r.line_id=h.line_id and h.pos between r.s and r.e qualify row_number() over (partition by h.path_id, h.pos order by r.e desc, r.line_id)=1),
+ seg(path_id, p, e, line_id) as (select path_id, pos, e, line_id from best where pos=0 union all select b.path_id, b.pos, b.e, b.line_id from seg join best b on b.path_id=seg.path_id and b.pos=seg.e+1)""",recursive=True))
 def line_sequence(spark, d):
     graph = R.line_graph(X.routes(spark, d), X.nodes(spark, d))
     paths = X.routes(spark, d).withColumnRenamed("route_id", "path_id")
@@ -292,9 +321,14 @@ def louvain_communities(spark, d):
     return G.louvain(X.edges(spark, d), 0.5)
 
 
-@query()
+@query(with_tables("routes nodes steps edges adj","""select n.node, round(coalesce(sum(a.paths*b.paths/w.paths),0)/greatest(1,((select count(*) from found)-1)*((select count(*) from found)-2)),9) as betweenness
+ from found n left join (reach a join reach b on b.s=a.v and b.v<>a.s join reach w on w.s=a.s and w.v=b.v and w.d=a.d+b.d) on a.v=n.node and a.s<>n.node and b.v<>n.node group by n.node""",
+more="""found as (select distinct node from adj),
+ reach(s, v, d, paths) using key (s, v) as (select node, node, 0, cast(1 as double) from found union
+  select f.s, a.other, f.d+1, sum(f.paths) from reach f join adj a on a.node=f.v left join recurring.reach o on o.s=f.s and o.v=a.other where o.v is null group by 1, 2, 3)""",recursive=True))
 def betweenness_pivots(spark, d):
-    return G.betweenness(X.edges(spark, d))
+    """Up to 200 nodes, all are pivots, and the SQL is exact; beyond that it is not comparable."""
+    return G.betweenness(X.edges(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query()
@@ -302,13 +336,22 @@ def degree_reduction(spark, d):
     return G.reduce_degree(X.edges(spark, d))
 
 
-@query()
+_ARC = """sqrt((cu2*sin(lam))**2+(cu1*su2-su1*cu2*cos(lam))**2) as sin_s, su1*su2+cu1*cu2*cos(lam) as cos_s, atan2(sin_s, cos_s) as sigma, coalesce(cu1*cu2*sin(lam)/nullif(sin_s, 0), 0) as sin_a,
+ 1-sin_a**2 as cos2a, coalesce(cos_s-2*su1*su2/nullif(cos2a, 0), 0) as cos_m"""
+_SPHEROID = "1/298.257223563e0 as f, 6378137.0e0 as a, a*(1-f) as b"
+
+
+@query(with_tables("routes nodes steps edges", f"""select src, dst, round(b*big_a*(sigma-big_b*sin_s*(cos_m+big_b/4*(cos_s*(2*cos_m**2-1)-big_b/6*cos_m*(4*sin_s**2-3)*(4*cos_m**2-3)))),3) as metres
+ from (select *, {_ARC}, {_SPHEROID}, cos2a*(a**2-b**2)/b**2 as usq, 1+usq/16384*(4096+usq*(-768+usq*(320-175*usq))) as big_a, usq/1024*(256+usq*(-128+usq*(74-47*usq))) as big_b from turn where k=20)""",
+ f"""spots as (select node_id, radians(x/100000-77.5e0) as lon, radians(y/100000+38.5e0) as lat, atan((1-1/298.257223563e0)*tan(lat)) as u from nodes),
+ turn(src, dst, su1, cu1, su2, cu2, l, lam, k) as (select src, dst, sin(p.u), cos(p.u), sin(q.u), cos(q.u), q.lon-p.lon, q.lon-p.lon, 0 from edges join spots p on p.node_id=src join spots q on q.node_id=dst
+  union all select src, dst, su1, cu1, su2, cu2, l, next, k+1 from (select *, {_ARC}, {_SPHEROID}, f/16*cos2a*(4+f*(4-3*cos2a)) as c, l+(1-c)*f*sin_a*(sigma+c*sin_s*(cos_m+c*cos_s*(-1+2*cos_m**2))) as next from turn where k<20))""", recursive=True))
 def geodesic_lengths(spark, d):
     from loomgrid.functions.geo import geodesic_m, mercator_x, mercator_y
 
     at = X.nodes(spark, d).select("node_id", mercator_x(F.col("x") / 100000 - 77.5).alias("x"), mercator_y(F.col("y") / 100000 + 38.5).alias("y"))
     ends = X.edges(spark, d).join(at.select(F.col("node_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay")), "src").join(at.select(F.col("node_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by")), "dst")
-    return ends.select("src", "dst", geodesic_m("ax", "ay", "bx", "by").alias("metres"))
+    return ends.select("src", "dst", F.round(geodesic_m("ax", "ay", "bx", "by"), 3).alias("metres"))
 
 
 def _search_graph(spark, d):

@@ -168,14 +168,16 @@ def population_samples(spark, d):
     return D.population_samples(X.blocks(spark, d), 0.002).groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(with_tables("stations ring_edges",f"""select count(*) as n, round(avg(dist),6) as mean_m from (select p.id, min(sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y))) as dist
+ from (select distinct id, x, y from (select id, p.x, p.y, poly_id from darts p cross join ring_edges r group by id, p.x, p.y, poly_id having {INSIDE})) p cross join stations s group by p.id)""",
+ "darts as (select id, ((id*40503)%65536+0.5e0)/65536.0e0*100000.0e0 as x, ((id*30011+12345)%65521+0.5e0)/65521.0e0*100000.0e0 as y from range(4000) t(id))"))
 def avg_dist_polygon(spark, d):
-    """Mean way from seeded points inside the polygons to the nearest station."""
+    """Mean way from 4,000 spread points, those inside the polygons, to the nearest station."""
     edges = X.ring_edges(spark, d)
-    u = lambda salt: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    darts = spark.range(4000).select("id", (u(1) * 100000).alias("x"), (u(2) * 100000).alias("y"))
+    spread = lambda a, b, m: (F.pmod(F.col("id") * a + b, F.lit(m)) + 0.5) / float(m) * 100000.0
+    darts = spark.range(4000).select("id", spread(40503, 0, 65536).alias("x"), spread(30011, 12345, 65521).alias("y"))
     inside = P.points_in_polygons(darts, edges, "id")
-    return P.nearest_join(inside, X.stations(spark, d), "id", "station_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean_m"))
+    return P.nearest_join(inside, X.stations(spark, d), "id", "station_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dist"), 6).alias("mean_m"))
 
 
 @query(with_tables("", "select poly_id, round(a,3) as area, round(cx,3) as cx, round(cy,3) as cy from (values (1, 1400000000.0e0, 25000.0e0, 22500.0e0), (2, 1500000000.0e0, (1800000000.0e0*72500-300000000.0e0*70000)/1500000000.0e0, (1800000000.0e0*25000-300000000.0e0*22500)/1500000000.0e0)) t(poly_id, a, cx, cy)", "unused as (select 1)"))
