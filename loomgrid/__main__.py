@@ -1,4 +1,4 @@
-"""Command line: ``python -m loomgrid stages|poi|demand|acs|catalog|validate|reproject ...``."""
+"""Command line: ``python -m loomgrid stages|genetic|poi|demand|acs|catalog|validate|reproject ...``."""
 
 from __future__ import annotations
 
@@ -20,6 +20,14 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--force", action="store_true")
     s.add_argument("--workers", type=int, default=4)
     s.add_argument("--restaurants", action="store_true", help="triangulated graph without contraction")
+    s = sub.add_parser("genetic", help="genetic search on a network's nodes and edges; prints each generation")
+    for name in ("--nodes", "--edges", "--out"):
+        s.add_argument(name, required=True)
+    for name, value in (("--population", 100), ("--generations", 30), ("--routes", 20), ("--seed", 0)):
+        s.add_argument(name, type=int, default=value)
+    for name, value in (("--min-km", 45.0), ("--max-km", 80.0)):
+        s.add_argument(name, type=float, default=value)
+    s.add_argument("--core", type=float, nargs=4, metavar=("X0", "Y0", "X1", "Y1"), help="the urban core; by default the box of all nodes")
     s = sub.add_parser("poi", help="points of interest of a manifest")
     for name in ("--manifest", "--cache", "--out"):
         s.add_argument(name, required=True)
@@ -48,10 +56,23 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("loomgrid").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "stages":
-        from loomgrid.plans.stages import STAGES, Config, run_stages
+        from loomgrid.plans.report import EVALUATION, EVALUATION_EXTENDED, fixed_width
+        from loomgrid.plans.stages import STAGES, Config, Context, run_stages
 
         config = Config(a.out, a.sf_dir, triangulate=a.restaurants, contract=not a.restaurants)
         print("ran:", *run_stages(spark, config, a.stages or STAGES, a.force, a.workers))
+        context = Context(spark, config)
+        for name, columns in (("evaluation", EVALUATION), ("evaluation_extended", EVALUATION_EXTENDED)):
+            if context.exists(name):
+                print(f"\n{fixed_width(context.table(name).orderBy('variant'), columns)}")
+    elif a.command == "genetic":
+        from loomgrid.operators.generators import Limits, genetic
+
+        nodes, edges = spark.read.parquet(a.nodes), spark.read.parquet(a.edges)
+        box = tuple(a.core) if a.core else tuple(nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).head())
+        limits = Limits(routes=a.routes, low=1000 * a.min_km, high=1000 * a.max_km)
+        say = lambda g, worth, diversity: print(f"generation {g}: fitness {worth:.4f}, diversity {diversity:.3f}")
+        genetic(nodes, edges, a.population, a.generations, limits, box, a.seed, caller=say).write.mode("overwrite").parquet(a.out)
     elif a.command == "poi":
         from loomgrid.operators.relational import concat_sources, dedupe_points, token_filter
         from loomgrid.sources.tables import load_source, read_manifest

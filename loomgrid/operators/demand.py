@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions.scalars import density
 from loomgrid.operators.spatial import nearest_join, radius_join
 from loomgrid.operators.stats import dense_rank_of, min_max, with_stats
+from loomgrid.scratch import settle
 
 
 @dataclass(frozen=True)
@@ -110,6 +111,25 @@ def density_at(queries: DataFrame, samples: DataFrame, key: str, bandwidth: floa
     return out.select(key, F.coalesce(F.col("k") / (F.nullif(F.col("n"), F.lit(0)) * 2 * pi * bandwidth**2), F.lit(0.0)).alias("density"))
 
 
+def log_density_at(queries: DataFrame, samples: DataFrame, key: str, bandwidth: float, block: int = 2_000) -> DataFrame:
+    """``key, log_density``: log of the Gaussian kernel density of all ``samples`` at each query point, without a cutoff.
+
+    Every sample counts, so that far points differ too. Samples are gathered in blocks, and a block gives each query the
+    largest exponent and the sum of the others relative to it, which add up to the whole sum without underflow. Meant for
+    few queries, such as the nodes of a contracted graph; without samples the result is null. ``key`` must be unique.
+    """
+    packed = samples.filter("x is not null and y is not null").select(F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)).alias("i"), "x", "y")
+    packed = packed.groupBy(F.spark_partition_id().alias("p"), F.floor(F.col("i") / block).alias("b")).agg(F.collect_list(F.struct("x", "y")).alias("spots"))
+    packed = settle(packed.select("spots"), "density-blocks")
+    exponents = F.transform("spots", lambda s: -((s["x"] - F.col("x")) ** 2 + (s["y"] - F.col("y")) ** 2) / (2.0 * bandwidth**2))
+    pairs = queries.select(key, "x", "y").join(packed).select(key, exponents.alias("e")).withColumn("most", F.array_max("e"))
+    parts = pairs.select(key, "most", F.size("e").alias("n"), F.aggregate("e", F.lit(0.0), lambda s, e: s + F.exp(e - F.col("most"))).alias("sum"))
+    tops = parts.groupBy(key).agg(F.max("most").alias("top"), F.sum("n").alias("n"), F.collect_list(F.struct("most", "sum")).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["sum"] * F.exp(p["most"] - F.col("top")))
+    found = tops.select(key, (F.col("top") + F.ln(total) - F.ln(F.col("n") * 2 * pi * bandwidth**2)).alias("log_density"))
+    return queries.select(key).join(found, key, "left")
+
+
 def circle_offsets(radius: float, points: int = 16) -> Column:
     """The centre and ``points`` points of a circle, as ``array<struct<dx,dy>>``."""
     turn = lambda i: i * (2 * pi / points)

@@ -6,7 +6,7 @@ holes of one polygon share its id, since crossings are counted over all rings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.scratch import settle
@@ -170,3 +170,21 @@ def quadtree_seeds(rows: DataFrame, levels: int = 8) -> DataFrame:
         inside = F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1"))
         held = settle(child.filter(inside), "quad-rows")
     return out
+
+
+def darts(spark: SparkSession, edges: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``id, x, y``: ``n`` seeded points spread evenly over the box around all polygons."""
+    box = edges.agg(F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("y1", "y2")).alias("y9"))
+    u = lambda salt: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    spread = spark.range(n).join(F.broadcast(box))
+    return spread.select("id", (F.col("x0") + u(1) * (F.col("x9") - F.col("x0"))).alias("x"), (F.col("y0") + u(2) * (F.col("y9") - F.col("y0"))).alias("y"))
+
+
+def mean_distance_inside(thrown: DataFrame, edges: DataFrame, sites: DataFrame, site_id: str = "station_id") -> DataFrame:
+    """One row ``n, mean_m``: the mean way to the nearest site from those ``thrown`` points (``id, x, y``) that lie in any polygon.
+
+    Points spread over a box are spread evenly over the union of the polygons, which so need not be built: a point in
+    several parts counts once. Without points inside or without sites the mean is null.
+    """
+    inside = points_in_polygons(thrown, edges, "id").dropDuplicates(["id"])
+    return nearest_join(inside, sites, "id", site_id).agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean_m"))

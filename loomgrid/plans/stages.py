@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.functions.geo import geodesic_m
 from loomgrid.operators import demand, generators, graph, models, relational, routes, spatial, stats
 
 
@@ -36,6 +37,11 @@ class Config:
     spacing: float = 1000.0
     similarity: dict[str, float] = field(default_factory=lambda: {"naive": 0.5, "iterative": 0.5, "aco": 0.3, "genetic": 0.3})
     radii: tuple[float, ...] = (5_000.0, 10_000.0, 20_000.0)
+    #: Discs ``(x, y, radius)`` that the ants keep out of.
+    no_go: tuple[tuple[float, float, float], ...] = ((50_000.0, 50_000.0, 15_000.0), (20_000.0, 80_000.0, 9_000.0))
+    #: Points thrown for the mean way from inside the area, and the lattice of a catchment.
+    thrown: int = 4_000
+    catchment_grid: int = 20
     seed: int = 0
 
 
@@ -113,7 +119,8 @@ def gnn_scoring(c: Context) -> dict[str, DataFrame]:
     nodes, edges = c.table("nodes"), c.table("edges")
     features = nodes.join(graph.clustering(edges).withColumnRenamed("node", "node_id"), "node_id", "left").fillna(0)
     features = features.join(graph.betweenness(edges).withColumnRenamed("node", "node_id"), "node_id", "left").fillna(0)
-    features = features.withColumn("log_density", F.ln(F.col("score") + 1e-30)).withColumn("degree", F.col("degree").cast("double"))
+    dense = demand.log_density_at(nodes, c.table("stops"), "node_id", c.config.bandwidth)
+    features = features.join(dense, "node_id").withColumn("degree", F.col("degree").cast("double"))
     columns = ["x", "y", "log_density", "degree", "clustering", "betweenness"]
     return {"node_scores": graph.graph_score(features, edges, columns, nodes.select("node_id", F.col("score").alias("density")))}
 
@@ -149,7 +156,8 @@ def iterative(c: Context) -> dict[str, DataFrame]:
 
 
 def aco(c: Context) -> dict[str, DataFrame]:
-    return _lines(c, "aco", generators.ant_colony(*_search(c), c.config.ants, c.config.generations, c.config.limits, c.config.seed))
+    zones = c.spark.createDataFrame(list(c.config.no_go), "zx double, zy double, r double")
+    return _lines(c, "aco", generators.ant_colony(*_search(c), c.config.ants, c.config.generations, c.config.limits, c.config.seed, zones))
 
 
 def genetic(c: Context) -> dict[str, DataFrame]:
@@ -177,7 +185,9 @@ def cost(c: Context) -> dict[str, DataFrame]:
         steps = routes.segments(made).join(at.select(F.col("node_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")), "a")
         steps = steps.join(at.select(F.col("node_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")), "b").withColumn("step", F.struct("route_id", "pos"))
         mids = steps.select("step", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-        typed = steps.withColumn("length_m", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).join(spatial.nearest_track(mids, c.table("track_network"), "step"), "step")
+        # Lengths are geodesic, once for each pair of ends.
+        ends = steps.select("ax", "ay", "bx", "by").distinct().withColumn("length_m", geodesic_m("ax", "ay", "bx", "by"))
+        typed = steps.join(ends, ["ax", "ay", "bx", "by"]).join(spatial.nearest_track(mids, c.table("track_network"), "step"), "step")
         stops = made.join(c.table(f"stations_{v}").filter("is_station"), "node_id").groupBy("route_id").agg(F.count(F.lit(1)).alias("n_stations"))
         out[f"cost_{v}"] = models.line_metadata(models.line_costs(typed, stops))
     return out
@@ -194,19 +204,25 @@ def ridership(c: Context) -> dict[str, DataFrame]:
 
 
 def evaluate(c: Context) -> dict[str, DataFrame]:
-    """Coverage of blocks and the mean way to a station, a row a variant."""
-    blocks, out = c.table("blocks"), None
+    """Coverage of blocks and neighbourhoods, mean ways to a station and density in reach, a row a variant."""
+    X, spark, d = _fixtures(c)
+    blocks, places, out = c.table("blocks"), X.places(spark, d), None
+    area, samples = X.ring_edges(spark, d), c.table("blocks").filter("pop > 0")
     for v in _present(c):
         stops = c.table(f"stations_{v}").filter("is_station").select(F.col("node_id").alias("station_id"), "x", "y")
         row = spatial.catchment_coverage(blocks, stops, "block_id", c.config.radii[0])
         far = spatial.nearest_join(blocks, stops, "block_id", "station_id").agg(F.avg("dist").alias("mean_m"))
-        row = row.join(F.broadcast(far)).select(F.lit(v).alias("variant"), "pct_covered", "mean_overlap_pct", "mean_m")
+        close = spatial.nearest_join(places, stops, "place_id", "station_id").agg((100.0 * F.count_if(F.col("dist") <= c.config.radii[0]) / F.count(F.lit(1))).alias("neigh_pct"))
+        inside = spatial.mean_distance_inside(spatial.darts(spark, area, c.config.thrown, c.config.seed), area, stops).select(F.col("mean_m").alias("inside_mean_m"))
+        mass = demand.catchment_mass(stops, samples, c.config.bandwidth, c.config.radii[0], c.config.catchment_grid).agg(F.sum("mass").alias("mass"))
+        row = row.join(F.broadcast(far)).join(F.broadcast(close)).join(F.broadcast(inside)).join(F.broadcast(mass))
+        row = row.select(F.lit(v).alias("variant"), "pct_covered", "mean_overlap_pct", "mean_m", "neigh_pct", "inside_mean_m", "mass")
         out = row if out is None else out.unionByName(row)
     return {"evaluation": out} if out is not None else {}
 
 
 def evaluate_extended(c: Context) -> dict[str, DataFrame]:
-    """Equity, coverage at radii and transfers, a row a variant; the nearest stations are found once for all."""
+    """Equity, coverage at radii, track, people a kilometre and transfers, a row a variant; nearest stations are found once for all."""
     blocks, out = c.table("blocks"), None
     for v in _present(c):
         stops = c.table(f"stations_{v}").filter("is_station").select(F.col("node_id").alias("station_id"), "x", "y")
@@ -216,6 +232,8 @@ def evaluate_extended(c: Context) -> dict[str, DataFrame]:
         wide = wide.toDF(*[f"cov_{int(r)}" for r in c.config.radii])
         row = stats.gini(stats.station_population(blocks, stops, c.config.radii[0]), "served", "pop_gini").join(wide)
         row = row.join(stats.high_need(near, F.col("potential"), c.config.radii[0]).withColumnRenamed("pct", "high_need_cov"))
+        track = routes.segments(made).select("src", "dst").distinct().join(c.table("edges"), ["src", "dst"]).agg(F.coalesce(F.sum("weight") / 1000, F.lit(0.0)).alias("track_km"))
+        row = row.join(track).join(stats.service_efficiency(near, track, c.config.radii[0]))
         row = row.join(routes.transfer_burden(made.drop("group"), made.select("route_id", "group").distinct()))
         row = row.withColumn("variant", F.lit(v)).withColumn("pct_2_and_more", F.col("pct_2plus") + F.col("pct_unreachable"))
         out = row if out is None else out.unionByName(row)

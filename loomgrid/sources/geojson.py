@@ -150,10 +150,15 @@ def has_values(lines: DataFrame, column: str) -> bool:
 def write_collection(features: DataFrame, path: str, column: str = "feature") -> None:
     """One GeoJSON collection in one file, for viewers; large layers are better left as ``to_json`` text parts.
 
-    Features are streamed to the driver partition by partition.
+    Features are streamed to the driver partition by partition, and from there to any store that Spark can write to.
     """
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"type": "FeatureCollection", "features": [')
+    context = features.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(b'{"type": "FeatureCollection", "features": [')
         for i, row in enumerate(features.select(column).toLocalIterator()):
-            f.write(("," if i else "") + "\n" + row[0])
-        f.write("\n]}\n")
+            out.write((("," if i else "") + "\n" + row[0]).encode("utf-8"))
+        out.write(b"\n]}\n")
+    finally:
+        out.close()

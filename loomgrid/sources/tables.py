@@ -113,6 +113,13 @@ def service_point(geometry: Column, attributes: Column) -> tuple[Column, Column]
     return x, y
 
 
+def service_shape(geometry: Column) -> Column:
+    """``array<array<array<double>>>``: a point as one path of one, points as a path, the first of several paths, or all rings, the shell first."""
+    one = lambda c: F.when(c.isNotNull(), F.array(c))
+    point = F.when(geometry["x"].isNotNull() & geometry["y"].isNotNull(), F.array(F.array(F.array(geometry["x"], geometry["y"]))))
+    return F.coalesce(point, one(geometry["points"]), one(F.get(geometry["paths"], F.lit(0))), geometry["rings"])
+
+
 SERVICE = "features array<struct<attributes:map<string,string>,properties:map<string,string>,geometry:struct<x:double,y:double,points:array<array<double>>,paths:array<array<array<double>>>,rings:array<array<array<double>>>>>>"
 
 
@@ -124,7 +131,7 @@ def service_rows(spark: SparkSession, path: str, source: Source) -> DataFrame:
     x, y = service_point(F.col("f.geometry"), merged)
     kind = F.when(F.col("f.geometry.rings").isNotNull(), "polygon").when(F.col("f.geometry.paths").isNotNull(), "line").otherwise("point")
     return rows.select(
-        "source_index", x.alias("x"), y.alias("y"), merged.alias("attributes"), kind.alias("geometry_kind"),
+        "source_index", x.alias("x"), y.alias("y"), service_shape(F.col("f.geometry")).alias("shape"), merged.alias("attributes"), kind.alias("geometry_kind"),
         *[F.lit(v).alias(k) for k, v in {"source_name": source.name, "source_url": source.url, "source_state": source.state, "source_category": source.category}.items()],
         F.lit(datetime.now(UTC).isoformat()).alias("retrieved_at"), *[F.lit(v).alias(k) for k, v in source.extra_properties.items()],
     )

@@ -297,3 +297,44 @@ def test_line_sequence(spark):
     graph = spark.createDataFrame([(a, b, 1.0, k) for k, own in lines.items() for a, b in own], "src long, dst long, dist double, line_id long")
     table = line_table(spark, paths).withColumnRenamed("route_id", "path_id")
     assert want and {(r["path_id"], r["pos"]): r["line_id"] for r in routes.line_sequence(table, graph).collect()} == want
+
+
+def test_log_density_without_cutoff(spark):
+    """All samples count, also from so far that the density itself underflows."""
+    rng = random.Random(8)
+    samples = [(rng.uniform(0, 1e4), rng.uniform(0, 1e4)) for _ in range(230)]
+    queries = [(i, rng.uniform(0, 1e4), rng.uniform(0, 1e4)) for i in range(20)] + [(20, 1e6, -1e6), (21, 2e6, 0.0)]
+    frame = spark.createDataFrame(samples, "x double, y double").repartition(3)
+    got = {r["k"]: r["log_density"] for r in demand.log_density_at(spark.createDataFrame(queries, "k long, x double, y double"), frame, "k", 500.0, block=50).collect()}
+    for k, x, y in queries:
+        exponents = [-((x - a) ** 2 + (y - b) ** 2) / (2 * 500.0**2) for a, b in samples]
+        top = max(exponents)
+        want = top + math.log(sum(math.exp(e - top) for e in exponents)) - math.log(len(samples) * 2 * math.pi * 500.0**2)
+        assert got[k] == pytest.approx(want, rel=1e-12)
+
+
+def test_mean_distance_inside(spark):
+    square = [(0.0, 0.0), (1000.0, 0.0), (1000.0, 1000.0), (0.0, 1000.0)]
+    moved = [(x + 500.0, y) for x, y in square]
+    rows = [(p, *a, *b) for p, ring in ((1, square), (2, moved)) for a, b in zip(ring, ring[1:] + ring[:1])]
+    edges = spark.createDataFrame(rows, "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    thrown = spatial.darts(spark, edges, 4000, 1)
+    sites = spark.createDataFrame([(1, 0.0, 0.0)], "station_id long, x double, y double")
+    row = spatial.mean_distance_inside(thrown, edges, sites).head()
+    assert row["n"] == thrown.count() and row["mean_m"] == pytest.approx(968, rel=0.03)
+    assert spatial.mean_distance_inside(thrown, edges, sites.limit(0)).head()["mean_m"] is None
+
+
+def test_mutation_changes_one_route_at_most():
+    near = [(i, j) for i in range(5) for j in range(5)]
+    nodes = [(5 * i + j, 1000.0 * i, 1000.0 * j, 1.0) for i, j in near]
+    links = [(5 * i + j, 5 * (i + di) + j + dj, 1000.0) for i, j in near for di, dj in ((1, 0), (0, 1), (1, 1)) if i + di < 5 and j + dj < 5]
+    terrain = generators.Terrain(nodes, links, [])
+    limits = generators.Limits(routes=3, low=1.0, high=1e9)
+    sets, changed = [[0, 1, 2, 3, 4], [0, 5, 10, 15, 20], [20, 21, 22]], 0
+    for seed in range(300):
+        out = generators.mutate(sets, terrain, limits, np.random.default_rng(seed))
+        apart = [k for k in range(3) if out[k] != sets[k]]
+        assert len(apart) <= 1 and all(generators.is_valid(w, terrain, limits) for w in out)
+        changed += len(apart)
+    assert 5 < changed < 100

@@ -6,9 +6,11 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from loomgrid.__main__ import main
+from loomgrid.plans.report import fixed_width
 from loomgrid.plans.stages import STAGES, Config, run_stages
 from loomgrid.operators import generators
-from loomgrid.sources import geojson, tables
+from loomgrid.sources import assembly, geojson, tables
 from loomgrid.sources.shapefile import read_shapefile
 from loomgrid.streaming.boardings import hourly_boardings
 
@@ -132,3 +134,46 @@ def test_stream(spark, tmp_path):
     job = stream.writeStream.format("memory").queryName("hourly_out").outputMode("complete").trigger(availableNow=True).start()
     job.awaitTermination(60)
     assert sorted((str(r["window_start"]), r["station_id"], r["boardings"], r["riders"]) for r in spark.table("hourly_out").collect()) == batch
+
+
+def test_assembled_layers(spark, tmp_path):
+    counties = spark.createDataFrame([("MD", "24031", 1), ("MD", "24033", 2), ("VA", "51031", 3), ("VA", "51013", 4), ("DC", "11001", 5), (None, "24031", 6)], "STATE string, FIPS string, n int")
+    codes = spark.createDataFrame([("MD", "031"), ("VA", "013"), ("VA", "013"), ("DC", "777")], "state string, code string")
+    assert sorted(r["n"] for r in assembly.county_shapes(counties, codes).collect()) == [1, 4, 5]
+    points = spark.createDataFrame([("a", -77.0, 38.9), ("b", None, 38.0)], "TITLE string, lon double, lat double")
+    shell, hole = [[0.0, 0.0], [0.04, 0.0], [0.04, 0.04], [0.0, 0.04]], [[0.03, 0.03], [0.03, 0.01], [0.01, 0.01], [0.01, 0.03]]
+    shapes = spark.createDataFrame([("square", [shell]), ("ring", [shell, hole]), ("flat", [[[0.0, 0.0], [1.0, 0.0]]])], "NAME string, rings array<array<array<double>>>")
+    got = {r["label"]: (r["x"], r["y"]) for r in assembly.neighbourhoods([assembly.point_layer(points, "TITLE"), assembly.polygon_layer(shapes, "NAME")]).collect()}
+    middle = 0.02 * 3.141592653589793 / 180 * 6378137
+    assert set(got) == {"a", "square", "ring"} and got["square"] == pytest.approx((middle, middle), rel=1e-6) and got["ring"] == pytest.approx((middle, middle), rel=1e-6)
+    stops = spark.createDataFrame([(1_000_000, 0, True, "x"), (2_000_000, 0, False, None), (3_000_000, 0, None, None)], "kx long, ky long, is_station boolean, name string")
+    row = assembly.line_stations(stops).collect()
+    assert [r["name"] for r in row] == ["x"] and row[0]["x"] == pytest.approx(6378137 * 3.141592653589793 / 180)
+
+
+def test_service_shapes(spark):
+    kind = "geometry struct<x:double,y:double,points:array<array<double>>,paths:array<array<array<double>>>,rings:array<array<array<double>>>>"
+    ring, hole = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0]], [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0]]
+    rows = [((1.0, 2.0, None, None, None),), ((None, None, [[1.0, 2.0], [3.0, 4.0]], None, None),), ((None, None, None, [ring, hole], None),), ((None, None, None, None, [ring, hole]),), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, kind).select(tables.service_shape(F.col("geometry"))).collect()]
+    assert got == [[[[1.0, 2.0]]], [[[1.0, 2.0], [3.0, 4.0]]], [ring], [ring, hole], None]
+
+
+def test_fixed_width(spark):
+    df = spark.createDataFrame([("aco", 12.345, None), ("naive", 1.0, 3)], "variant string, pct double, n int").orderBy("variant")
+    assert fixed_width(df, (("variant", "network", "8s"), ("pct", "cov %", "8.1f"), ("n", "n", "4d"))).split("\n") == [
+        "network      cov %     n", "--------  --------  ----", "aco           12.3   n/a", "naive          1.0     3",
+    ]
+
+
+def test_genetic_command(spark, tmp_path, capsys):
+    size = 6
+    nodes = [(size * i + j, 1000.0 * i, 1000.0 * j, 1.0 + (i * j) % 3) for i in range(size) for j in range(size)]
+    edges = [(size * i + j, size * (i + di) + j + dj, 1000.0) for i in range(size) for j in range(size) for di, dj in ((1, 0), (0, 1)) if i + di < size and j + dj < size]
+    spark.createDataFrame(nodes, "node_id long, x double, y double, score double").write.parquet(str(tmp_path / "n"))
+    spark.createDataFrame(edges, "src long, dst long, weight double").write.parquet(str(tmp_path / "e"))
+    asked = ["genetic", "--nodes", str(tmp_path / "n"), "--edges", str(tmp_path / "e"), "--out", str(tmp_path / "o"), "--population", "4", "--generations", "2", "--routes", "2", "--min-km", "3", "--max-km", "9"]
+    assert main(asked) == 0
+    assert capsys.readouterr().out.count("generation") == 2
+    made = spark.read.parquet(str(tmp_path / "o"))
+    assert made.select("route_id").distinct().count() == 2
