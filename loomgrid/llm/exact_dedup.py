@@ -47,23 +47,21 @@ def exact_duplicates(
     Returns ``id, keep_id, group_size, kept, digest`` (digest in lowercase hex). ``keep`` names the
     row that stays: the ``smallest`` or the ``largest`` id of the group. A null text equals an
     empty one. Null ids lose to any other id; if a group has only null ids, ``keep_id`` is null.
-    Repeated rows (same id and text) count each, and exactly one of them is kept. An empty table
-    gives an empty result; other columns are ignored.
+    Repeated rows (same id and text) count each, and exactly one of them is kept. Ids of any ordered
+    type will do; texts of any length are read whole. An empty table gives an empty result; other columns
+    are ignored.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
     records = settle(digest_records(docs, 2 ** (rounds * round_bits), id_col, text_col), "digests")
 
-    # Smallest ids are ranked by max() as well: nulls last, then descending order via negation.
-    rank: Column = F.struct(
-        F.col("id").isNotNull().alias("known"),
-        (F.col("id") if keep == "largest" else -F.col("id")).alias("order"),
-        F.col("row"),
-        F.col("id"),
-    )
+    # Null ids come after all others, whichever end is kept.
+    known = F.col("id").isNotNull()
+    pick = F.max if keep == "largest" else F.min
+    rank: Column = F.struct((known if keep == "largest" else ~known).alias("rank"), F.col("id"), F.col("row"))
     run = (
         records.groupBy("run", *KEY)
-        .agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("copies"))
+        .agg(pick(rank).alias("best"), F.count(F.lit(1)).alias("copies"))
         .sortWithinPartitions("run", "digest")
     )
     levels = [settle(run, "runs0")]
@@ -72,7 +70,7 @@ def exact_duplicates(
         merged = (
             levels[-1]
             .groupBy(parent, *KEY)
-            .agg(F.max("best").alias("best"), F.sum("copies").alias("copies"))
+            .agg(pick("best").alias("best"), F.sum("copies").alias("copies"))
             .sortWithinPartitions("run", "digest")
         )
         levels.append(settle(merged, f"runs{level}"))

@@ -138,8 +138,8 @@ def mix_sources(
     Returns ``id, h, size, source_size, target, times``; the mixture takes ``times * size`` words of
     the row. Every row is taken ``floor(target / source_size)`` times, and those below the source's
     hash threshold once more, never over ``cap`` times. Null texts have no words; a null source is
-    a source of its own; rows with equal ids are taken together; a source without words has
-    target 0. An empty table gives no rows, and other columns are ignored.
+    a source of its own; rows with equal ids are taken together; texts of any length are counted
+    whole; a source without words has target 0. An empty table gives no rows, and other columns are ignored.
     """
     rows = settle(sized_rows(docs, seed, id_col, text_col, source_col), "mix-rows")
     plan = mixture_plan(rows, weights, cap)

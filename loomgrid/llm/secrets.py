@@ -435,7 +435,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id, n_assign, n_access, n_hex, base, spans`` for every row, from its whole text.
 
     The counts and ``base`` are of the text as it stands; ``spans`` has what decoding adds as well. Null
-    and empty texts have none. Rows are independent; an empty table gives no rows; other columns
+    and empty texts have none. Texts of any length are scanned whole. Rows are independent; an empty table gives no rows; other columns
     are ignored.
     """
     schema = pa.schema([("id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("spans", pa.string())])

@@ -89,7 +89,7 @@ class TrieCounter:
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
     """``id, n_words, n_tokens`` for every row, from its whole text.
 
-    Null and empty texts have no tokens. Rows are independent, so repeated rows and null ids need no
+    Null and empty texts have no tokens; texts of any length are counted whole. Rows are independent, so repeated rows and null ids need no
     rule; an empty table gives no rows, and other columns are ignored.
     """
     pieces = piece_scores(model_path)

@@ -311,7 +311,11 @@ def read_documents(manifest: DataFrame, folder: str, dtype: str) -> DataFrame:
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """Write token files for ``docs`` and read them back: ``id, start, n_tokens, ids_crc32``."""
+    """Write token files for ``docs`` and read them back: ``id, start, n_tokens, ids_crc32``.
+
+    Null and empty texts are the end id alone; texts of any length are encoded whole. Rows without an id come first, and
+    rows that share one stand by their texts. An empty table gives no rows; other columns are ignored.
+    """
     manifest, keys, folder, dtype = write_token_files(docs, tokenizer_path, **options)
     # Spark takes the documents read for as few as the manifest's rows; they must not be broadcast.
     return read_documents(manifest, folder, dtype).join(keys.hint("merge"), ["part", "place"]).select("id", "start", "n_tokens", "ids_crc32")

@@ -269,7 +269,7 @@ def score(text: Column, model: Model) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
     """``id, held_out, score, predicted`` for every row.
 
-    Null texts score like empty ones. Labels without an id or value are ignored; an id labelled
+    Null texts score like empty ones, and texts of any length are read whole. Labels without an id or value are ignored; an id labelled
     twice is toxic if one label says so. Rows without an id are scored, never held out and not
     trained on. Empty tables give no rows or, for labels, scores near 0; other columns are ignored.
     """
@@ -279,6 +279,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    Null and empty texts, repeated rows, rows without an id and empty tables as for ``toxicity``.
+    """
     model = fit(text_batches(docs), labels, id_col, text_col, label_col, **options)
     return docs.filter(score(F.col(text_col), model) < threshold)

@@ -127,7 +127,7 @@ def judge_urls(
     The longest fitting rule decides; else the model blocks at a probability of ``threshold``.
     ``labelled`` has ``host, path, block``; without it the model learns from at most ``max_labelled`` URLs
     of ``pages`` that rules decide. Null and malformed URLs have an empty host and path, which the
-    model judges too. Repeated rows are judged alike; an empty table gives no rows; other columns
+    model judges too; URLs of any length are read whole. Repeated rows are judged alike; an empty table gives no rows; other columns
     are ignored.
     """
     if labelled is None:

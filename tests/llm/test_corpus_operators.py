@@ -641,3 +641,14 @@ def test_toxicity_learns_from_positives_and_unlabelled_only(spark):
     owner, slots = (np.array(x) for x in zip(*[(i, f) for i, b in enumerate(bags) for f in b]))
     w, b = train_linear(owner, slots, labels, 3, pi, steps=1, rate=1.0, decay=0.0)
     assert np.append(w, b) == pytest.approx(start - np.sign(steps), abs=1e-3)
+
+
+def test_exact_dedup_takes_any_ids(spark):
+    """Ids that cannot be negated: strings, and the smallest long."""
+    rows = [("b", "x"), ("a", "x"), (None, "x"), ("c", "y")]
+    for keep, want in (("smallest", {"a", "c"}), ("largest", {"b", "c"})):
+        out = exact_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), keep=keep).collect()
+        assert {r["id"] for r in out if r["kept"]} == want and len(out) == 4
+    least = -(2**63)
+    out = exact_duplicates(spark.createDataFrame([(least, "x"), (0, "x")], "doc_id long, text string")).collect()
+    assert {r["keep_id"] for r in out} == {least}
