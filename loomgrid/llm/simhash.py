@@ -427,8 +427,8 @@ def shingle_marks(texts: DataFrame, width: int, level: float, probe_width: int,
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """``id, probe, grp, bag, shingles`` from ``id, probe, grp, bag, text``: the distinct shingles of each text."""
-    schema = pa.schema([("id", pa.int64()), ("probe", pa.int64()), ("grp", pa.int64()), ("bag", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    """``id, probe, grp, no, shingles`` from ``id, probe, grp, no, text``: the distinct shingles of each text."""
+    schema = pa.schema([("id", pa.int64()), ("probe", pa.int64()), ("grp", pa.int64()), ("no", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -437,37 +437,44 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(word_shingles(word_marks(t.as_py()), width)).view("<i8") for t in batch.column(4)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
-    return text_batches(texts).select("id", "probe", "grp", "bag", "text").mapInArrow(collect, "id long, probe long, grp long, bag binary, shingles array<long>")
+    return text_batches(texts).select("id", "probe", "grp", "no", "text").mapInArrow(collect, "id long, probe long, grp long, no long, shingles array<long>")
+
+
+def postings(bags: DataFrame) -> DataFrame:
+    """``h, no, grp, place`` of every prefix; ``place`` packs the number of shingles and the position."""
+    places = bags.select("no", "grp", "n", F.posexplode("prefix").alias("pos", "h"))
+    return places.select("h", "no", "grp", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place"))
 
 
 def sharing_pairs(posted: DataFrame, bags: DataFrame, level: float, within: bool) -> DataFrame:
-    """``a_bag, a_grp, b_bag, b_grp`` that may be as similar as ``level``, from ``h, bag, grp, n, pos``.
+    """``a_no, a_grp, b_no, b_grp``: bags that may be as similar as ``level``, from ``h, no, grp, place``.
 
     Two bags as alike as that, with ``n`` and ``m`` shingles, share at least ``least = s / (1 + s) * (n + m)``,
     hence one among the first ``n - least + 1`` of one and ``m - least + 1`` of the other in any common
     order. Pairs that share one are kept if their parities differ in ``n + m - 2 * least`` slots at most.
     Both bounds are exact, so no pair is missed. Pairs of the same group only (``within``), or of different ones.
     """
-    a = posted.select("h", *[F.col(c).alias(f"a_{c}") for c in ("bag", "grp", "n", "pos")])
-    b = posted.select("h", *[F.col(c).alias(f"b_{c}") for c in ("bag", "grp", "n", "pos")])
+    parts = {"no": F.col("no"), "grp": F.col("grp"), "n": F.shiftright("place", 32), "pos": F.col("place").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))}
+    a = posted.select("h", *[v.alias(f"a_{c}") for c, v in parts.items()])
+    b = posted.select("h", *[v.alias(f"b_{c}") for c, v in parts.items()])
     least = F.ceil(F.lit(level / (1 + level)) * (F.col("a_n") + F.col("b_n")))
-    tie = F.col("a_bag") < F.col("b_bag") if within else F.col("a_grp") < F.col("b_grp")
+    tie = F.col("a_no") < F.col("b_no") if within else F.col("a_grp") < F.col("b_grp")
     above = (F.col("a_n") < F.col("b_n")) | (F.col("a_n") == F.col("b_n")) & tie
     same = F.col("a_grp") == F.col("b_grp")
     may = (same if within else ~same) & above & (F.col("a_n") >= level * F.col("b_n"))
     may = may & (F.col("a_pos") <= F.col("a_n") - least) & (F.col("b_pos") <= F.col("b_n") - least)
-    pairs = a.join(b, "h").filter(may).select("a_bag", "a_grp", "b_bag", "b_grp", (F.col("a_n") + F.col("b_n") - 2 * least).alias("most")).distinct()
+    pairs = a.join(b, "h").filter(may).select("a_no", "a_grp", "b_no", "b_grp", (F.col("a_n") + F.col("b_n") - 2 * least).alias("most")).distinct()
     pairs = settle(pairs, "near-pairs")
 
     half = (F.size("q") / 2).cast("int")
     folded = F.zip_with(F.slice("q", F.lit(1), half), F.slice("q", half + 1, half), lambda x, y: x.bitwiseXOR(y))
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    pairs = pairs.join(bags.select(F.col("bag").alias("a_bag"), F.col("parity").alias("p")), "a_bag")
-    pairs = pairs.join(bags.select(F.col("bag").alias("b_bag"), F.col("parity").alias("q")), "b_bag")
+    pairs = pairs.join(bags.select(F.col("no").alias("a_no"), F.col("parity").alias("p")), "a_no")
+    pairs = pairs.join(bags.select(F.col("no").alias("b_no"), F.col("parity").alias("q")), "b_no")
     # The larger text has as many slots or, since sizes differ by a quarter at most, twice or four times as many.
     for _ in range(max(1, ceil(-np.log2(level)))):
         pairs = pairs.withColumn("q", F.when(F.size("q") > F.size("p"), folded).otherwise(F.col("q")))
-    return pairs.filter(apart <= F.col("most")).select("a_bag", "a_grp", "b_bag", "b_grp")
+    return pairs.filter(apart <= F.col("most")).select("a_no", "a_grp", "b_no", "b_grp")
 
 
 def similar(a: Column, b: Column, level: float) -> Column:
@@ -477,7 +484,7 @@ def similar(a: Column, b: Column, level: float) -> Column:
 
 
 def lead_round(left: DataFrame, some: int, level: float) -> DataFrame:
-    """``left`` (``row, grp, bag, shingles``) with ``leader``: the first of the group's leaders that each is similar to.
+    """``left`` (``row, grp, no, shingles``) with ``leader``: the first of the group's leaders that each is similar to.
 
     Leaders are among the ``some`` smallest rows of a group, as many as fit ``HEAD_SHINGLES``, but one at
     least: each of these that is not similar to one before. A large group is compared in lots, each with
@@ -496,11 +503,11 @@ def lead_round(left: DataFrame, some: int, level: float) -> DataFrame:
     empty = F.array().cast("array<struct<row:struct<id:bigint,probe:bigint>,shingles:array<bigint>>>")
     heads = heads.select("grp", F.aggregate("heads", empty, lead).alias("heads")).join(lots, "grp")
     heads = heads.select("grp", "heads", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-    dealt = left.join(lots, "grp").select("row", "grp", "bag", "shingles", F.pmod(F.xxhash64("row"), F.col("lots")).cast("int").alias("lot"))
+    dealt = left.join(lots, "grp").select("row", "grp", "no", "shingles", F.pmod(F.xxhash64("row"), F.col("lots")).cast("int").alias("lot"))
     # The work is in comparing, not in bytes, so these partitions must not be merged for being small.
     dealt = dealt.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "lot")
     first = F.get(F.filter("heads", lambda h: similar(F.col("shingles"), h["shingles"], level)), F.lit(0))["row"]
-    return dealt.join(heads, ["grp", "lot"]).select("row", "grp", "bag", "shingles", first.alias("leader"))
+    return dealt.join(heads, ["grp", "lot"]).select("row", "grp", "no", "shingles", first.alias("leader"))
 
 
 def pair_leaders(left: DataFrame, bags: DataFrame, level: float) -> DataFrame:
@@ -509,10 +516,10 @@ def pair_leaders(left: DataFrame, bags: DataFrame, level: float) -> DataFrame:
     A row leads if no smaller row that it is similar to leads; the others go. Decided in rounds over the
     pairs that are still open: a row without a smaller open neighbour leads, and its neighbours go.
     """
-    posted = left.select("grp", "bag").join(bags.select("bag", "n", "prefix"), "bag").select("bag", "grp", "n", F.posexplode("prefix").alias("pos", "h"))
+    posted = postings(left.select("grp", "no").join(bags.select("no", "n", "prefix"), "no"))
     pairs = sharing_pairs(posted, bags, level, within=True)
-    side = lambda k: left.select(F.col("grp").alias("a_grp"), F.col("bag").alias(f"{k}_bag"), F.col("row").alias(f"{k}_row"), F.col("shingles").alias(f"{k}_set"))
-    alike = pairs.drop("b_grp").join(side("a"), ["a_grp", "a_bag"]).join(side("b"), ["a_grp", "b_bag"]).filter(similar(F.col("a_set"), F.col("b_set"), level))
+    side = lambda k: left.select(F.col("grp").alias("a_grp"), F.col("no").alias(f"{k}_no"), F.col("row").alias(f"{k}_row"), F.col("shingles").alias(f"{k}_set"))
+    alike = pairs.drop("b_grp").join(side("a"), ["a_grp", "a_no"]).join(side("b"), ["a_grp", "b_no"]).filter(similar(F.col("a_set"), F.col("b_set"), level))
     open_, seen = settle_measured(alike.select(F.least("a_row", "b_row").alias("u"), F.greatest("a_row", "b_row").alias("v")), "near-edges", n=F.count(F.lit(1)))
     gone = open_.select(F.col("v").alias("row"), F.col("u").alias("leader")).limit(0)
     while seen["n"]:
@@ -548,33 +555,33 @@ def duplicate_rows(
     roots = fingerprint_roots(marks.select("id", "fp"), radius).select("fp", F.col("root").alias("grp"))
     found = marks.select("id", "probe", "fp", "bag", "n").join(roots, "fp").select(F.struct("id", "probe").alias("row"), "bag", "grp").distinct()
     found, distinct = settle_measured(found, "near-found", n=F.count(F.lit(1)))
-    bags = settle(marks.groupBy("bag").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "parity")]), "near-bags")
-
-    held = found.select("bag", "grp").distinct()
-    posted = held.join(bags.select("bag", "n", "prefix"), "bag").select("bag", "grp", "n", F.posexplode("prefix").alias("pos", "h"))
-    live = posted.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("h")
-    posted = settle(posted.join(live, "h"), "near-postings")
-    links = sharing_pairs(posted, bags, level, within=False).select(F.col("a_grp").alias("u"), F.col("b_grp").alias("v")).distinct()
-    merged = connected_components(links).withColumnRenamed("node", "grp")
+    # A bag stands in the least of its groups; others that it is in are linked with that one.
+    least = found.groupBy("bag").agg(F.min("grp").alias("grp"), F.min("row").alias("row"))
+    ties = found.select("bag", F.col("grp").alias("v")).distinct().join(least, "bag").filter("v <> grp").select(F.col("grp").alias("u"), "v")
+    bags = marks.groupBy("bag").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "parity")]).join(least, "bag")
+    bags = settle(bags.withColumn("no", F.monotonically_increasing_id()), "near-bags")
+
+    live = bags.select("grp", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("h")
+    posted = settle(postings(bags).join(live, "h"), "near-postings")
+    links = sharing_pairs(posted, bags, level, within=False).select(F.col("a_grp").alias("u"), F.col("b_grp").alias("v"))
+    merged = connected_components(links.unionByName(ties).distinct()).withColumnRenamed("node", "grp")
     discard(marks, posted)
-    # Rows of one bag are of one group by now.
-    reps = found.join(merged, "grp", "left").groupBy("bag").agg(F.min("row").alias("row"), F.min(F.coalesce("root", "grp")).alias("grp"))
-    reps = settle(reps, "near-reps")
+    reps = settle(bags.select("bag", "no", "row", "grp").join(merged, "grp", "left").select("bag", "no", "row", F.coalesce("root", "grp").alias("grp")), "near-reps")
 
     many = reps.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("grp")
-    wanted = reps.join(many, "grp").select("row.id", "row.probe", "grp", "bag")
+    wanted = reps.join(many, "grp").select("row.id", "row.probe", "grp", "no")
     # Texts are shuffled at any size, so that a run on a sample shows what a large one costs.
     sets = shingle_sets(texts.hint("merge").join(wanted, ["id", "probe"]), width)
     whole = settle(sets.dropDuplicates(["id", "probe"]) if seen["n"] > distinct["n"] else sets, "near-sets")
-    left = whole.select(F.struct("id", "probe").alias("row"), "grp", "bag", "shingles")
+    left = whole.select(F.struct("id", "probe").alias("row"), "grp", "no", "shingles")
     verdicts = []
     for some in ROUNDS:
         judged = lead_round(left, some, level)
-        judged = settle(judged.select("row", "grp", "bag", "leader", F.when(F.col("leader").isNull() | (F.col("leader") == F.col("row")), F.col("shingles")).alias("shingles")), "near-round")
+        judged = settle(judged.select("row", "grp", "no", "leader", F.when(F.col("leader").isNull() | (F.col("leader") == F.col("row")), F.col("shingles")).alias("shingles")), "near-round")
         verdicts.append(judged.filter("leader <> row").select("row", "leader"))
         if len(verdicts) == 1:
             discard(whole)
-        left = judged.filter("leader is null").select("row", "grp", "bag", "shingles")
+        left = judged.filter("leader is null").select("row", "grp", "no", "shingles")
     verdicts.append(pair_leaders(left, bags, level))
     ruled = verdicts[0]
     for more in verdicts[1:]:
