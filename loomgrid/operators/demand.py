@@ -67,8 +67,8 @@ def block_demand(blocks: DataFrame, poi: DataFrame, transit: DataFrame, acs_colu
     ``blocks`` has ``block_id, x, y, pop, aland, awater`` and any of ``acs_columns``.
     """
     rows = blocks.withColumn("density", density(F.col("pop"), F.col("aland"), F.col("awater")))
-    rows = rows.join(neighbours(rows, poi, transit, "block_id", radius), "block_id")
     rows = acs_signal(rows, acs_columns)
+    rows = settle(rows.join(neighbours(rows, poi, transit, "block_id", radius), "block_id"), "block-neighbours")
     rows = min_max(rows.select("block_id", "density", "poi_count", "transit_m", "acs"), ["density", "poi_count", "transit_m"])
     near = F.coalesce(1 - F.col("transit_m"), F.lit(0.0))
     score = weights.population * F.col("density") + weights.poi * F.col("poi_count") + weights.transit * near + weights.equity * F.col("acs")
@@ -79,9 +79,10 @@ def block_demand(blocks: DataFrame, poi: DataFrame, transit: DataFrame, acs_colu
 def area_demand(areas: DataFrame, poi: DataFrame, transit: DataFrame, acs_columns: Sequence[str] = (), radius: float = 1000.0, weights: Weights = Weights()) -> DataFrame:
     """Like ``block_demand`` for areas with a population column; equity and survey signals share a weight."""
     names = ("population", "pop", "POP20", "total_population", "B01003_001E")
+    areas = settle(areas, "areas")
     rows = equity_signal(first_signal(areas, names, "population_signal"))
     rows = acs_signal(rows, acs_columns)
-    rows = rows.join(neighbours(rows, poi, transit, "area_id", radius), "area_id")
+    rows = settle(rows.join(neighbours(rows, poi, transit, "area_id", radius), "area_id"), "area-neighbours")
     rows = min_max(rows.select("area_id", "population_signal", "equity", "acs", "poi_count", "transit_m"), ["poi_count", "transit_m"])
     near = F.coalesce(1 - F.col("transit_m"), F.lit(0.0))
     need = (F.col("equity") + F.col("acs")) / 2

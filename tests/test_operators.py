@@ -73,6 +73,12 @@ def test_joins_against_brute_force(spark):
     assert exact.count() == 1
 
 
+def test_radius_join_broadcasts_no_copies(spark):
+    for how in ("inner", "left"):
+        pairs = spatial.radius_join(points(spark, [(1, 0.0, 0.0)], "l"), points(spark, [(1, 3.0, 4.0)], "r"), 5.0, how)
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_polygon_with_hole(spark):
     ring = lambda p, r: [(p, *map(float, a), *map(float, b)) for a, b in zip(r, r[1:] + r[:1])]
     edges = spark.createDataFrame(ring(1, [(0, 0), (10, 0), (10, 10), (0, 10)]) + ring(1, [(4, 4), (6, 4), (6, 6), (4, 6)]) + ring(2, [(5, 0), (20, 0), (20, 5)]), "poly_id int, x1 double, y1 double, x2 double, y2 double")
