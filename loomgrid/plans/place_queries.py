@@ -80,10 +80,9 @@ def row_type_nearest(spark, d):
 def _typed_steps(spark, d):
     from loomgrid.plans.table_queries import _step_lengths
 
-    steps = _step_lengths(spark, d).withColumn("step", F.struct("route_id", "pos"))
-    mids = steps.select("step", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-    kinds = P.nearest_track(mids, X.network(spark, d), "step", 2000.0)
-    return steps.join(kinds, "step").select("route_id", "pos", "length_m", "row_type")
+    steps = _step_lengths(spark, d)
+    mids = steps.select("route_id", "pos", "length_m", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
+    return P.nearest_track(mids, X.network(spark, d), "route_id", 2000.0, ("pos", "length_m"))
 
 
 @query(with_tables("stations poi network", """select station_id, round(case when edge_id is null then x else sx end,6) as sx, round(case when edge_id is null then y else sy end,6) as sy, edge_id from (select *, row_number() over (partition by station_id order by gap nulls last, edge_id) as rn from (

@@ -79,6 +79,22 @@ def test_radius_join_broadcasts_no_copies(spark):
         assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_track_types_by_cells(spark):
+    """Cells decide alike with brute force, and a crowd of tracks is not joined pair by pair."""
+    rng, kinds = random.Random(5), ["subway_tunnel", "elevated", "street", "unknown", None]
+    tracks = [(x := rng.uniform(0, 6000), y := rng.uniform(0, 6000), x, y, rng.choice(kinds[(x < 4000) * (y < 5000):])) for _ in range(150)]
+    spots = [(i, rng.uniform(-900, 7000), rng.uniform(-900, 7000)) for i in range(400)] + [(400, None, 1.0)]
+    network = spark.createDataFrame(tracks, "x1 double, y1 double, x2 double, y2 double, row_type string")
+    got = {r["id"]: r["row_type"] for r in spatial.nearest_track(points(spark, spots), network, "id", 500.0).collect()}
+    want = {i: min([kinds.index(k) for a, b, _, _, k in tracks if x is not None and k and (a - x) ** 2 + (b - y) ** 2 <= 250_000], default=2) for i, x, y in spots}
+    assert got == {i: kinds[k] for i, k in want.items()}
+    crowd = network.sparkSession.range(3000).select(*[F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit("rail_existing").alias("row_type"))
+    many = spark.range(30_000).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    assert spatial.nearest_track(many, crowd, "id", 500.0).filter("row_type = 'rail_existing'").count() == 30_000
+    plan = spatial.nearest_track(many, crowd, "id", 500.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "tcx" in plan
+
+
 def test_polygon_with_hole(spark):
     ring = lambda p, r: [(p, *map(float, a), *map(float, b)) for a, b in zip(r, r[1:] + r[:1])]
     edges = spark.createDataFrame(ring(1, [(0, 0), (10, 0), (10, 10), (0, 10)]) + ring(1, [(4, 4), (6, 4), (6, 6), (4, 6)]) + ring(2, [(5, 0), (20, 0), (20, 5)]), "poly_id int, x1 double, y1 double, x2 double, y2 double")
