@@ -219,6 +219,29 @@ def test_paths_prefer_fewer_transfers(spark):
     assert got[4][0] == 0 and got[3] == (1, 30.0) and got[2] == (0, 20.0)
 
 
+def test_paths_against_plain_search(spark):
+    import heapq
+
+    rng, steps = random.Random(3), []
+    place = {i: (rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(12)}
+    for line in range(14):
+        steps += [(line, p, n) for p, n in enumerate(rng.sample(range(12), rng.randint(2, 5)))]
+    g = routes.line_graph(spark.createDataFrame(steps, "route_id long, pos int, node_id long"), points(spark, [(i, *at) for i, at in place.items()], "node_id"))
+    ways = [tuple(r) for r in g.select("src", "dst", "dist", "line_id").collect()]
+    origin = min(w[0] for w in ways)
+    best, heap = {}, [(0, 0.0, origin, line) for line in {w[3] for w in ways if w[0] == origin}]
+    while heap:
+        t, far, node, line = heapq.heappop(heap)
+        if (node, line) not in best:
+            best[node, line] = (t, far)
+            for a, b, size, other in ways:
+                if a == node:
+                    heapq.heappush(heap, (t + (other != line), far + size, b, other))
+    want = {n: min(v for (m, _), v in best.items() if m == n) for n, _ in best}
+    got = {r["node"]: (r["transfers"], r["dist"]) for r in routes.best_paths(g, spark.createDataFrame([(origin,)], "node_id long")).collect()}
+    assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n]) for n in want)
+
+
 def test_graph_features(spark):
     edges = edge_table(spark, [(1, 2, 1), (2, 3, 1), (1, 3, 1), (3, 4, 1)])
     got = {r["node"]: (r["degree"], round(r["clustering"], 6)) for r in graph.clustering(edges).collect()}
@@ -232,6 +255,22 @@ def test_graph_features(spark):
     assert left == {(0, 1), (0, 2), (0, 3), (0, 4)}
 
 
+def test_gabriel_starts_near(spark):
+    """A first radius of everything does not make all pairs."""
+    rng, sizes = random.Random(8), []
+    spots = [(i, rng.uniform(0, 1000), rng.uniform(0, 1000)) for i in range(300)]
+    settle, graph.settle = graph.settle, lambda df, name: (table := settle(df, name), sizes.append(table.count()))[0]
+    try:
+        got = {(r["src"], r["dst"]) for r in graph.gabriel_edges(points(spark, spots), "id", 1500.0).collect()}
+    finally:
+        graph.settle = settle
+    at = np.array([s[1:] for s in spots])
+    apart = ((at[:, None] - at[None]) ** 2).sum(axis=2)
+    want = {(p, q) for p in range(300) for q in range(p + 1, 300) if (np.delete(apart[p] + apart[q], [p, q]) >= apart[p, q]).all()}
+    assert got == want
+    assert max(sizes) < 300 * 299 / 2 / 4
+
+
 def test_gabriel_is_complete(spark):
     rng = random.Random(4)
     spots = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(40)] + [(40 + i, 5000 + rng.uniform(0, 50), rng.uniform(0, 50)) for i in range(10)]
