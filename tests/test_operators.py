@@ -399,3 +399,16 @@ def test_mutation_changes_one_route_at_most():
         assert len(apart) <= 1 and all(generators.is_valid(w, terrain, limits) for w in out)
         changed += len(apart)
     assert 5 < changed < 100
+
+
+def test_density_counts_every_sample_without_pairs(spark):
+    rng = np.random.default_rng(3)
+    samples, queries, h = rng.uniform(-8000, 20000, (700, 2)), rng.uniform(-15000, 30000, (90, 2)), 1500.0
+    s = spark.createDataFrame([tuple(map(float, v)) for v in samples] + [(None, 1.0), (float("nan"), 2.0)], "x double, y double")
+    q = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(queries)] + [(990, None, 1.0), (991, float("nan"), 0.0)], "id int, x double, y double")
+    scale = 702 * 2 * np.pi * h * h
+    got = {r["id"]: r["density"] for r in demand.density_at(q, s, "id", h).collect()}
+    assert got.pop(990) == got.pop(991) == 0.0
+    for i, at in enumerate(queries):
+        assert abs(got[i] * scale - np.exp(-((samples - at) ** 2).sum(axis=1) / (2 * h * h)).sum()) < 1e-11
+    assert demand.density_at(q, s.limit(0), "id", h).filter("density <> 0").isEmpty()
