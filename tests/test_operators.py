@@ -412,3 +412,22 @@ def test_density_counts_every_sample_without_pairs(spark):
     for i, at in enumerate(queries):
         assert abs(got[i] * scale - np.exp(-((samples - at) ** 2).sum(axis=1) / (2 * h * h)).sum()) < 1e-11
     assert demand.density_at(q, s.limit(0), "id", h).filter("density <> 0").isEmpty()
+
+
+def _random_graph(n, m, seed):
+    rng = random.Random(seed)
+    return sorted({(min(a, b), max(a, b)) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(m)) if a != b})
+
+
+def test_clustering_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 60)
+    edges = _random_graph(40, 260, 1)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    got = {r["node"]: (r["degree"], r["clustering"]) for r in graph.clustering(spark.createDataFrame(edges, "src long, dst long").repartition(3)).collect()}
+    assert set(got) == set(near)
+    for u, ends in near.items():
+        closed = sum(w in near[v] for v in ends for w in ends)
+        assert got[u] == (len(ends), pytest.approx(closed / max(1, len(ends) * (len(ends) - 1))))
