@@ -431,3 +431,16 @@ def test_clustering_by_buckets(spark, monkeypatch):
     for u, ends in near.items():
         closed = sum(w in near[v] for v in ends for w in ends)
         assert got[u] == (len(ends), pytest.approx(closed / max(1, len(ends) * (len(ends) - 1))))
+
+
+def test_betweenness_brings_only_pivots_to_the_driver(spark, monkeypatch):
+    edges = _random_graph(30, 60, 4)
+    df = spark.createDataFrame(edges, "src long, dst long")
+    brought, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: brought.append(collect(self)) or brought[-1])
+    out = graph.betweenness(df, pivots=5)
+    assert max(map(len, brought), default=0) <= 5
+    monkeypatch.undo()
+    assert out.count() == len({v for e in edges for v in e})
+    star = spark.createDataFrame([(0, i) for i in range(1, 6)] + [(8, 9)], "src long, dst long")
+    assert {r["node"]: round(r["betweenness"], 9) for r in graph.betweenness(star).collect()} == {0: round(20 / 42, 9), **dict.fromkeys([1, 2, 3, 4, 5, 8, 9], 0.0)}
