@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions import geo
 from loomgrid.functions import scalars as S
-from loomgrid.operators import demand, generators, graph, models, relational, routes, spatial, stats
+from loomgrid.operators import demand, generators, graph, models, packed, relational, routes, spatial, stats
 from loomgrid.operators.components import connected_components
 
 
@@ -444,3 +445,20 @@ def test_betweenness_brings_only_pivots_to_the_driver(spark, monkeypatch):
     assert out.count() == len({v for e in edges for v in e})
     star = spark.createDataFrame([(0, i) for i in range(1, 6)] + [(8, 9)], "src long, dst long")
     assert {r["node"]: round(r["betweenness"], 9) for r in graph.betweenness(star).collect()} == {0: round(20 / 42, 9), **dict.fromkeys([1, 2, 3, 4, 5, 8, 9], 0.0)}
+
+
+def _bytes_an_edge(run, n):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1] / n
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_louvain_takes_few_bytes_an_edge():
+    groups, each = 20, 120
+    pairs = [(g * each + i, g * each + j) for g in range(groups) for i in range(each) for j in range(i)] + [(g * each, g * each + each) for g in range(groups - 1)]
+    ends = np.array(pairs, dtype="int32")
+    member, peak = _bytes_an_edge(lambda: graph._communities(*packed.neighbours(groups * each, [(ends[:, 0], ends[:, 1])]), 1.0, 0), len(pairs))
+    assert [len(set(member[g * each : (g + 1) * each])) for g in range(groups)] == [1] * groups and len(set(member)) == groups
+    assert peak < 100
