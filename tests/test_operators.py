@@ -462,3 +462,21 @@ def test_louvain_takes_few_bytes_an_edge():
     member, peak = _bytes_an_edge(lambda: graph._communities(*packed.neighbours(groups * each, [(ends[:, 0], ends[:, 1])]), 1.0, 0), len(pairs))
     assert [len(set(member[g * each : (g + 1) * each])) for g in range(groups)] == [1] * groups and len(set(member)) == groups
     assert peak < 100
+
+
+def test_degree_reduction_takes_few_bytes_an_edge():
+    n, rng = 600, np.random.default_rng(5)
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+    key, weight = np.array([a * n + b for a, b in pairs]), rng.integers(0, 50, len(pairs)).astype("float64")
+    (kept, _), peak = _bytes_an_edge(lambda: graph._reduced(key, weight, n, 4), len(pairs))
+    assert peak < 100
+    alive, at = dict(zip(pairs, weight.tolist())), {}
+    for e in alive:
+        for node in e:
+            at.setdefault(node, set()).add(e)
+    for node in sorted(at):
+        for e in sorted(at[node], key=lambda e: (-alive[e], e))[: max(0, len(at[node]) - 4)]:
+            for end in e:
+                at[end].discard(e)
+            del alive[e]
+    assert [(k // n, k % n) for k in kept.tolist()] == sorted(alive)
