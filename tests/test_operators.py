@@ -330,6 +330,28 @@ def test_generators(spark):
         generators.crossed([[1]], [[1], [2]], None, LIMITS, 1)
 
 
+def test_searches_make_no_objects_of_the_graph_on_the_driver(spark, monkeypatch):
+    nodes, edges = grid_world(spark)
+    expected = generators.walk_set(generators._terrain(nodes, edges, None), LIMITS, np.random.default_rng([5, 0]))
+
+    def refused(*_):
+        raise AssertionError("the driver holds the graph as objects")
+
+    # Workers import the module anew, so only the driver is refused.
+    monkeypatch.setattr(generators, "Terrain", refused)
+    assert generators._walks(generators.random_walks(nodes, edges, 1, LIMITS, seed=5)) == {0: expected}
+    check_routes(generators.ant_colony(nodes, edges, 3, 3, LIMITS, seed=1), nodes, edges, 4)
+    check_routes(generators.genetic(nodes, edges, 4, 2, LIMITS, (0, 0, 1, 1), seed=1), nodes, edges, 4)
+    check_routes(generators.iterative_walks(nodes, edges, 1, 5, LIMITS, seed=2), nodes, edges, 4)
+
+
+def test_a_worker_builds_the_terrain_once():
+    made = []
+    for key in ("a", "a", "b", "b", "a"):
+        generators._once("test", key, lambda key=key: made.append(key) or key)
+    assert made == ["a", "b", "a"] and generators._BUILT.pop("test") == ("a", "a")
+
+
 def test_population_samples_do_not_depend_on_partitions(spark):
     b = spark.createDataFrame([(i, 0.0, 0.0, float(i * 100), 5000.0, 0.0) for i in range(6)], "block_id long, x double, y double, pop double, aland double, awater double")
     one_way = sorted(map(tuple, demand.population_samples(b, 0.01).collect()))
