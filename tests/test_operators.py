@@ -96,6 +96,18 @@ def test_track_types_by_cells(spark):
     assert "tcx" in plan
 
 
+def test_line_cost_deals_out_its_lines_once(spark, sf_dir):
+    from loomgrid.plans import graph_queries
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = graph_queries.line_cost(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = [line for line in plan.split("\n") if "REPARTITION_BY_COL" in line]
+    assert len([line for line in dealt if "ReusedExchange" not in line]) == 1 and len(dealt) > 1
+
+
 def test_polygon_with_hole(spark):
     ring = lambda p, r: [(p, *map(float, a), *map(float, b)) for a, b in zip(r, r[1:] + r[:1])]
     edges = spark.createDataFrame(ring(1, [(0, 0), (10, 0), (10, 10), (0, 10)]) + ring(1, [(4, 4), (6, 4), (6, 6), (4, 6)]) + ring(2, [(5, 0), (20, 0), (20, 5)]), "poly_id int, x1 double, y1 double, x2 double, y2 double")
